@@ -2,14 +2,15 @@
 
 Texts with the same shingle set are one entry. Shingles have one global order, rare ones first, by a count sketch of
 fixed size over all documents (its errors change the order's quality, not the result). An entry's prefix is its first
-n - ceil(0.8 n) + 1 shingles in that order; two sets that link share a shingle of both prefixes, so only prefix
-shingles that several entries have matter. Of those the matrix says which groups of entries hold them.
+n - ceil(0.8 n) + SHARE shingles in that order; two sets that link share SHARE shingles of both prefixes, so only
+prefix shingles that several entries have matter. Of those the matrix says which groups of entries hold them.
 
 First, each such shingle's most central entry is a group of its own, which the entries at that shingle open: this
 links most of every cluster in as many checks as there are entries. Then groups are chunks of the components found,
-alike in size; an entry is a query to a group of another component only where the group's shingle union overlaps its
-prefix and the sizes admit a link, and only entries outside the largest component at a shingle need to ask. An opened
-group is checked exactly. No pair of entries in different components that could link goes unchecked.
+alike in size; an entry is a query to a group of another component only where the group's shingle union has SHARE
+shingles of its prefix and the sizes admit a link, and only entries outside the largest component at a shingle need to
+ask. (A shingle's central entry needs no second check there.) An opened group is checked exactly, on 48-bit names of
+shingles. No pair of entries in different components that could link goes unchecked.
 
 Words are lower-cased A-Z; a set is the distinct 5-word shingles, of a shorter text the whole sequence. Texts without
 words are empty and alone. Rows that repeat a doc_id are rows of their own; a null id is never a component's id unless
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import dropped, powers, mix, P64, rolling, shuffle_partitions, words_of, written
 from .components import connected
-from .window_dedup import Grouped, NULL_ID, _answered, _bits, _runs, _shared, _unzip, _with_answers, _zip, batches, each
+from .window_dedup import Grouped, NULL_ID, _answered, _bits, _runs, _shared, _unzip, _with_answers, _zip, batches, each, pack_run, unpack_run
 
 SHINGLE = 5
 PERCENT = 80
+#: Shingles that the prefixes of linked sets have in common, and the least size of a set that links with another.
+SHARE, LEAST = 3, 4
 #: Cells of the sketch, whatever the corpus: 4 MB where it is read.
 CELLS, CELL_ROWS = 1 << 22, 64
 GROUP = 128
@@ -100,7 +103,7 @@ def _read(texts: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
 def _prefix(s: np.ndarray, log: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """Prefix of a set in the global order, and how common its shingles are on the whole."""
     often = log[_cells(s)]
-    size = len(s) - -(-percent * len(s) // 100) + 1
+    size = len(s) - -(-percent * len(s) // 100) + SHARE
     return s[np.lexsort((s, often))[:size]], int(100 * often.mean())
 
 
@@ -112,7 +115,7 @@ def _entries(texts: DataFrame, log: np.ndarray, size: int, percent: int) -> Data
     buckets = 4 * parts
 
     def prefixes(batch):
-        out = [(k, s, *_prefix(s, sent.value, percent)) for k, s in Sets(batch, size).distinct()]
+        out = [(k, s, *_prefix(s, sent.value, percent)) for k, s in Sets(batch, size).distinct() if len(s) >= LEAST]
         return out, (np.concatenate([p for _, _, p, _ in out]) if out else np.zeros(0, np.uint64))
 
     def ask(it):
@@ -135,7 +138,7 @@ def _entries(texts: DataFrame, log: np.ndarray, size: int, percent: int) -> Data
                 if len(hit):
                     token.append(hit)
                     owner.append(np.full(len(hit), len(rest)))
-                    rest.append((k, len(s), score, s.tobytes()))
+                    rest.append((k, len(s), score, pack_run(s >> np.uint64(16))))
             if not rest:
                 continue
             token, owner = np.concatenate(token).view(np.int64), np.concatenate(owner)
@@ -161,7 +164,7 @@ def _opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: in
             a, c = [], []
             g_, asks, k_, m_ = (b.column(i) for i in range(4))
             for r in range(b.num_rows):
-                g, s = g_[r].as_py(), np.frombuffer(m_[r].as_py(), np.uint64)
+                g, s = g_[r].as_py(), unpack_run(m_[r].as_py())[0]
                 if g != now:
                     now, inside, index = g, [], None
                 if not asks[r].as_py():
@@ -209,7 +212,7 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
     first = _opened(named(members), named(queries), sets, percent, "first-links")
     roots = written(connected(first), "first-roots")
     # groups of many: chunks of components
-    rooted = written(tokens.join(roots, "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
+    rooted = written(tokens.where("k <> p").join(roots, "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
     per = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
     mixed = written(rooted.join(per.where("roots > 1").select("token", F.col("most.root").alias("main")), "token"), "mixed")
     sizes = mixed.select("root", "k").distinct().groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("slots"))
@@ -219,13 +222,15 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
     unions = grouped.groupBy("token", "g", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     asking = grouped.where("root <> main").select("token", "k", F.col("n").alias("qn"), F.col("root").alias("qroot"))
     open_ = asking.join(unions, "token").where((F.col("qroot") != F.col("root")) & (100 * F.col("most") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("least")))
-    queries = written(open_.select("g", "k").distinct(), "queries")
+    queries = written(open_.groupBy("g", "k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARE).select("g", "k"), "queries")
     members = grouped.select("g", "k").distinct().join(queries.select("g").distinct(), "g", "left_semi")
     return first.union(_opened(members, queries, sets, percent, "links"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, batch_bytes: int = 4 << 20) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+    """Per row: doc_id, n_shingles, component_id. percent must be over 75, for LEAST to hold."""
+    if not 75 < percent <= 100:
+        raise ValueError("percent must be over 75 and at most 100")
     texts = batches(docs, batch_bytes)
     rows, log = _read(texts, size)
     entries = _entries(texts, log, size, percent)
