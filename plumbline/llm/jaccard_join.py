@@ -6,8 +6,8 @@ n - ceil(0.8 n) + SHARE shingles in that order; two sets that link share SHARE s
 prefix shingles that several entries have matter. Of those the matrix says which groups of entries hold them.
 
 First, each such shingle's most central entry is a group of its own, which the entries at that shingle open: this
-links most of every cluster in as many checks as there are entries. Then groups are chunks of the components found,
-alike in size; an entry is a query to a group of another component only where the group's shingle union has SHARE
+links most of every cluster in as many checks as there are entries. Then groups are chunks of the large components
+found and, where components are small, chunks of entries with the same least shingle, always alike in size; an entry is a query to a group of another component only where the group's shingle union has SHARE
 shingles of its prefix and the sizes admit a link, and only entries outside the largest component at a shingle need to
 ask. (A shingle's central entry needs no second check there.) An opened group is checked exactly, on 48-bit names of
 shingles. No pair of entries in different components that could link goes unchecked.
@@ -152,47 +152,44 @@ def _entries(texts: DataFrame, log: np.ndarray, size: int, percent: int) -> Data
 
 
 def _opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """members and queries are (g, k): check each query of a group against the group's sets; links (a, b).
+    """members and queries are (g, k, root): check each query of a group against the group's sets; links (a, b).
 
-    One link of a query to a group is enough, as a group's entries belong together.
+    One link of a query to each root is enough, as what has one root belongs together already.
     """
 
     def run(it):
-        now, inside = None, []
-        index = None
+        now, inside, index = None, [], None
         for b in it:
             a, c = [], []
-            g_, asks, k_, m_ = (b.column(i) for i in range(4))
+            g_, asks, k_, root_, m_ = (b.column(i) for i in range(5))
             for r in range(b.num_rows):
                 g, s = g_[r].as_py(), unpack_run(m_[r].as_py())[0]
                 if g != now:
                     now, inside, index = g, [], None
                 if not asks[r].as_py():
-                    inside.append((k_[r].as_py(), s))
+                    inside.append((k_[r].as_py(), root_[r].as_py(), s))
                     continue
                 if not inside:
                     continue
                 if index is None:
-                    tokens = np.concatenate([x for _, x in inside])
-                    owner = np.repeat(np.arange(len(inside)), [len(x) for _, x in inside])
+                    tokens = np.concatenate([x for _, _, x in inside])
+                    owner = np.repeat(np.arange(len(inside)), [len(x) for _, _, x in inside])
                     order = np.argsort(tokens, kind="stable")
-                    index = tokens[order], owner[order], np.array([len(x) for _, x in inside])
-                tokens, owner, sizes = index
+                    index = tokens[order], owner[order], np.array([len(x) for _, _, x in inside]), np.array([x for _, x, _ in inside])
+                tokens, owner, sizes, roots = index
                 lo, hi = np.searchsorted(tokens, s), np.searchsorted(tokens, s, side="right")
                 n = hi - lo
                 at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
                 common = np.bincount(owner[at], minlength=len(inside))
-                ok = 100 * common >= percent * (sizes + len(s) - common)
-                k = k_[r].as_py()
-                for i in np.flatnonzero(ok)[:2].tolist():
-                    if inside[i][0] != k:
-                        a.append(k)
-                        c.append(inside[i][0])
-                        break
+                ok = np.flatnonzero((100 * common >= percent * (sizes + len(s) - common)) & (roots != root_[r].as_py()))
+                for i in ok[np.unique(roots[ok], return_index=True)[1]].tolist():
+                    a.append(k_[r].as_py())
+                    c.append(inside[i][0])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
     rows = members.withColumn("asks", F.lit(False)).union(queries.withColumn("asks", F.lit(True)))
-    full = rows.join(sets, "k").select("g", "asks", "k", "members")
+    # the same join at every size: sets go to where they are asked for
+    full = rows.hint("merge").join(sets, "k").select("g", "asks", "k", "root", "members")
     return written(full.repartition("g").sortWithinPartitions("g", "asks").mapInArrow(run, "a long, b long"), name)
 
 
@@ -208,22 +205,25 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
     shares = ask.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares"))
     members = shares.select(F.col("p"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("p").alias("k"))
     queries = ask.join(shares, "p").select("p", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("share"), "k")
-    named = lambda d: d.select(F.xxhash64("p", "share").alias("g"), "k")
+    named = lambda d: d.select(F.xxhash64("p", "share").alias("g"), "k", F.col("k").alias("root"))
     first = _opened(named(members), named(queries), sets, percent, "first-links")
     roots = written(connected(first), "first-roots")
     # groups of many: chunks of components
     rooted = written(tokens.where("k <> p").join(roots, "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
     per = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
     mixed = written(rooted.join(per.where("roots > 1").select("token", F.col("most.root").alias("main")), "token"), "mixed")
-    sizes = mixed.select("root", "k").distinct().groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("slots"))
+    alike = mixed.groupBy("k").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min("token").alias("lead"))
+    large = alike.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= GROUP).select("root", F.lit(True).alias("large"))
+    alike = alike.join(large, "root", "left").select("k", "n", "root", F.when(F.col("large"), F.struct("large", F.col("root").alias("x"))).otherwise(F.struct(F.lit(False).alias("large"), F.col("lead").alias("x"))).alias("by"))
+    slots = alike.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("slots"))
     band = F.floor(F.log(1.1, F.col("n")))
-    grouped = mixed.join(sizes, "root").withColumn("g", F.xxhash64("root", band, F.pmod(F.xxhash64("k"), F.col("slots"))))
-    grouped = written(grouped.select("token", "k", "n", "root", "main", "g"), "groups")
-    unions = grouped.groupBy("token", "g", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asking = grouped.where("root <> main").select("token", "k", F.col("n").alias("qn"), F.col("root").alias("qroot"))
-    open_ = asking.join(unions, "token").where((F.col("qroot") != F.col("root")) & (100 * F.col("most") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("least")))
-    queries = written(open_.groupBy("g", "k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARE).select("g", "k"), "queries")
-    members = grouped.select("g", "k").distinct().join(queries.select("g").distinct(), "g", "left_semi")
+    held = written(alike.join(slots, "by").select("k", F.xxhash64("by", band, F.pmod(F.xxhash64("k"), F.col("slots"))).alias("g")), "groups")
+    grouped = written(mixed.join(held, "k").select("token", "k", "n", "root", "main", "g"), "grouped")
+    unions = grouped.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    asking = grouped.where("root <> main").select("token", "k", F.col("n").alias("qn"), "root")
+    open_ = asking.join(unions, "token").where(((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))) & (100 * F.col("most") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("least")))
+    queries = written(open_.groupBy("g", "k", "root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARE).select("g", "k", "root"), "queries")
+    members = grouped.select("g", "k", "root").distinct().join(queries.select("g").distinct(), "g", "left_semi")
     return first.union(_opened(members, queries, sets, percent, "links"))
 
 
