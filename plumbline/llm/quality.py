@@ -40,7 +40,7 @@ TABLE = (
     Threshold("stop_words", low=2),
     Threshold("upper_ratio", high=0.60),
     Threshold("bang_ratio", high=0.30),
-    Threshold("dup_line_ratio", high=0.30),
+    Threshold("dup_line_ratio", high=0.50),
     Threshold("repeat_word_ratio", high=0.50),
 )
 
@@ -50,12 +50,12 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows found twice or more: sort the windows, look at both neighbours."""
+    """Words inside 3-word windows found twice or more: sort the windows' 64-bit names, look at both neighbours."""
     n = F.size(words) - 2
     grams = F.when(n > 0, F.transform(
         F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
-        lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("g"), i.alias("p")),
-    )).otherwise(F.expr("cast(array() as array<struct<g:string,p:int>>)"))
+        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("g"), i.alias("p")),
+    )).otherwise(F.expr("cast(array() as array<struct<g:bigint,p:int>>)"))
 
     def covered(s: Column) -> Column:
         same = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.when(i > 0, F.get(s, i - 1)["g"]) == x["g"], F.lit(False)))

@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Characters that no normaliser joins across chunks: printable ASCII, tab and line ends, Latin letters up to U+017F.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e¿-ſ]*").fullmatch
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xbf-\u017f]*").fullmatch
 
 TOKENIZER = "word_bpe_49k.json"
 
