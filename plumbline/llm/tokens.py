@@ -1,18 +1,20 @@
 """Token ids by a tokenizer file of the tokenizers library, for whole texts.
 
-The ids of a chunk between white space don't depend on what is around it, for tokenizers that drop white space; so
-each distinct chunk is encoded once by the library and looked up afterwards. Texts with characters outside the range
-for which this is certain are encoded whole.
+The ids of a chunk between white space don't depend on what is around it, for tokenizers that drop white space. So a
+text is taken apart as the file's own normaliser and pre-tokenizer would, each distinct piece goes to the library's
+model once, and chunks and pieces are looked up afterwards. Texts with characters outside the range for which this is
+certain, and files of another make, are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 
-#: Characters that no normaliser joins across chunks: printable ASCII, tab and line ends, Latin letters up to U+017F.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xbf-\u017f]*").fullmatch
+#: Characters that no normaliser joins or splits: printable ASCII, tab and line ends, Latin letters up to U+017F.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xbf-įı-ſ]*").fullmatch
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,43 +25,71 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class _Chunks(dict):
-    def __init__(self, encode, limit: int):
+def _byte_names() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
+
+
+class _Kept(dict):
+    """Looked up or made; of two generations of `limit` entries the older goes, what is still in use moves up."""
+
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        self[chunk] = out = self.encode(chunk)
+        out = self.older.get(key)
+        self[key] = out = self.make(key) if out is None else out
         return out
 
 
 class Encoder:
-    """Texts to little-endian uint32 ids. cache_limit bounds the chunks kept."""
+    """Texts to little-endian uint32 ids. limit bounds the chunks and the pieces kept."""
 
-    def __init__(self, path: str, cache_limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = _Chunks(self._library, cache_limit)
+        with open(path) as f:
+            make = json.load(f)
+        steps = make["pre_tokenizer"].get("pretokenizers", [])
+        kinds = [s["type"] for s in (make.get("normalizer") or {}).get("normalizers", [])]
+        self.known = kinds == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and bool(steps[0]["invert"]) and not steps[1]["add_prefix_space"] and not steps[1].get("use_regex", True)
+        if self.known:
+            self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self.names = _byte_names()
+        self.pieces = _Kept(self._piece, limit)
+        self.chunks = _Kept(self._chunk, limit)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.names.__getitem__, piece.encode()))
+        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown))
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(chunk.lower())))
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text or not _PLAIN(text):
+        if not self.known or "<|" in text or not _PLAIN(text):
             return self._library(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-_KEPT: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
-    if path not in _KEPT:
-        _KEPT[path] = Encoder(path)
-    return _KEPT[path]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
