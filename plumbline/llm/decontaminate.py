@@ -45,6 +45,14 @@ def _shingles_of(words: Column) -> Column:
     ).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(words, i + k) for k in range(SHINGLE)]))))
 
 
+def _cut(words: Column, m: int) -> Column:
+    """Every window of m words, m under five, as (pos, h, m)."""
+    return F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(words) - m, F.lit(0))),
+        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat_ws(" ", *[F.get(words, i + k) for k in range(m)])).alias("h"), F.lit(m).alias("m")),
+    )
+
+
 def _simhash(hashes: Column) -> Column:
     """Bit b is set if it is set in more than half of the hashes."""
     return let(hashes, _simhash_of)
@@ -84,7 +92,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     # short items are one shingle of fewer words; a window of that many words has to be cut for them
     short = sorted(r.m for r in it.where(F.col("m") < SHINGLE).select("m").distinct().collect())  # 4 at most
     if short:
-        cut = let(_words(F.col("text")), lambda w: F.concat(*[F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - m, F.lit(0))), lambda i, m=m: F.struct(i.alias("pos"), F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(m)])).alias("h"), F.lit(m).alias("m"))) for m in short]))
+        cut = let(_words(F.col("text")), lambda w: F.concat(*[_cut(w, m) for m in short]))
         tiny = id_text(docs).select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
         tiny = tiny.join(it.where(F.col("m") < SHINGLE).select("item_id", "m", F.col("hs")[0].alias("h")), ["h", "m"]).groupBy("doc_id", "item_id").agg(F.min("pos").cast("long").alias("start"))
         tiny = tiny.select("doc_id", "item_id", "start", F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity"))

@@ -66,7 +66,7 @@ def align(a: list, b: list, shift: int, band: int) -> tuple[int, int, int]:
                 n, first, _ = before.get(j - 1, (0, j, j))
                 top = max(top, (n + 1, first if n else j, j + 1), key=lambda c: (c[0], c[1]))
             now[j] = top
-            if top[0] > best[0] or top[0] == best[0] and top[1] > best[1]:
+            if top[0] > best[0] or top[0] == best[0] and top[2] - top[1] < best[2] - best[1]:
                 best = top
         before = now
     return best

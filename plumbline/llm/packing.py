@@ -69,14 +69,22 @@ class SumIndex:
             self.triples[total] = None
         return None
 
-    def exact(self, gap: int):
+    def exact(self, gap: int, most: int):
         if self.left[gap]:
             return (gap,)
-        return self.pair(gap) or self.triple(gap)
+        return most >= 2 and self.pair(gap) or most >= 3 and self.triple(gap) or None
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences), using up counts[length] exactly."""
+    """(lengths of one sequence, how many such sequences), using up counts[length] exactly.
+
+    Of the plans with combinations of up to three, two and one lengths, the one with the fewest sequences.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = counts.astype(np.int64).copy()
     index, out = SumIndex(left), []
     top = capacity
@@ -88,7 +96,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
         items, gap = [top], capacity - top
         left[top] -= 1
         while gap:
-            combo = index.exact(gap)
+            combo = index.exact(gap, most)
             if not combo:
                 fits = np.flatnonzero(left[1 : gap + 1])
                 if not len(fits):
