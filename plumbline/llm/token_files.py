@@ -27,6 +27,8 @@ from .tokens import default_path, encoder
 
 MAGIC = b"PLS8B001"
 BLOCK = 4096
+#: A block and as much room as one word's ids take.
+ROW = BLOCK + 240
 ESCAPE = 1
 #: (ids, bits) by selector (fixed values of the coding).
 SELECTORS = ((240, 0), (1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -40,88 +42,87 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), False
-    grid = np.zeros(blocks * BLOCK + 240, np.uint64)
-    grid[:n] = ids
-    bits = np.searchsorted(_FROM, grid[: blocks * BLOCK], side="right").astype(np.uint8).reshape(blocks, BLOCK)
-    choice = np.full((blocks, BLOCK), ESCAPE, np.uint8)
-    place = np.arange(BLOCK, dtype=np.int16)
+    # each block is followed by as many zeros as a word can hold, so that words need not look for its end
+    grid = np.zeros((blocks, ROW), np.uint64)
+    full = n // BLOCK
+    grid[:full, :BLOCK] = ids[: full * BLOCK].reshape(full, BLOCK)
+    grid[full:, : n - full * BLOCK] = ids[full * BLOCK :]
+    flat = grid.ravel()
+    bits = np.searchsorted(_FROM, flat, side="right").astype(np.uint8)
+    choice = np.full(len(flat), ESCAPE, np.uint8)
+    at = np.flatnonzero(bits <= 60)
     for s in range(15, -1, -1):  # from few wide ids to many narrow ones: the last that fits wins
-        if s == ESCAPE:
-            continue
-        count, width = SELECTORS[s]
-        wide = np.where(bits > width, place, np.int16(BLOCK + 240))
-        nearest = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
-        choice[nearest - place >= count] = s
+        if s != ESCAPE:
+            count, width = SELECTORS[s]
+            at = at[bits[at] <= width]
+            if len(at) >= count:
+                choice[at[: len(at) - count + 1][at[count - 1 :] - at[: len(at) - count + 1] == count - 1]] = s
     lens = np.full(blocks, BLOCK)
     lens[-1] = n - (blocks - 1) * BLOCK
-    row, at = np.arange(blocks), np.zeros(blocks, np.int64)
-    taken: list[tuple[np.ndarray, np.ndarray]] = []
+    choice = choice.reshape(blocks, ROW)
+    row, pos = np.arange(blocks), np.zeros(blocks, np.int64)
+    rows, starts = [], []
     while len(row):  # one word of every block at a time
-        taken.append((row, at))
-        at = at + _COUNT[choice[row, at]]
-        more = at < lens[row]
-        row, at = row[more], at[more]
-    rows = np.concatenate([r for r, _ in taken])
-    starts = np.concatenate([a for _, a in taken])
-    order = np.lexsort((starts, rows))
-    rows, starts = rows[order], starts[order]
-    chosen = choice[rows, starts]
+        rows.append(row)
+        starts.append(pos)
+        pos = pos + _COUNT[choice[row, pos]]
+        more = pos < lens[row]
+        row, pos = row[more], pos[more]
+    rows = np.concatenate(rows)
+    order = np.argsort(rows.astype(np.uint16) if blocks < 1 << 16 else rows, kind="stable")
+    rows, starts = rows[order], np.concatenate(starts)[order]
+    begin = rows * ROW + starts
+    chosen = choice.ravel()[begin]
     size = np.where(chosen == ESCAPE, 2, 1)
     where = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
-    flat = rows * BLOCK + starts
-    limit = np.minimum((rows + 1) * BLOCK, n)
-    for s in np.unique(chosen):
+    for s in np.unique(chosen).tolist():
         m = chosen == s
         if s == ESCAPE:
             words[where[m]] = np.uint64(ESCAPE) << np.uint64(60)
-            words[where[m] + 1] = grid[flat[m]]
+            words[where[m] + 1] = flat[begin[m]]
             continue
         count, width = SELECTORS[s]
         word = np.full(int(m.sum()), np.uint64(s) << np.uint64(60), np.uint64)
+        from_ = begin[m]
         for k in range(count if width else 0):
-            pos = flat[m] + k
-            word |= np.where(pos < limit[m], grid[pos], np.uint64(0)) << np.uint64(k * width)
+            word |= flat[from_ + k] << np.uint64(k * width)
         words[where[m]] = word
-    first = np.zeros(blocks, np.uint64)
-    first[:] = where[np.searchsorted(rows, np.arange(blocks))]
-    return words, first, bool((chosen == ESCAPE).any())
+    return words, where[np.searchsorted(rows, np.arange(blocks))].astype(np.uint64), bool((chosen == ESCAPE).any())
 
 
 def decode(words: np.ndarray, first: np.ndarray, n: int, escapes: bool) -> np.ndarray:
-    """The ids. Without escapes all blocks decode together; with them, word by word to tell raw words apart."""
+    """The ids. All blocks decode together; where there are escapes, raw words are told apart first."""
     if not n:
         return np.zeros(0, np.uint64)
-    sel = (words >> np.uint64(60)).astype(np.int64)
-    head = np.ones(len(words), bool)
+    sel = (words >> np.uint64(60)).astype(np.uint8)
+    at = np.arange(len(words))
     if escapes:
-        k = 0
+        head, k = np.ones(len(words), bool), 0
         while k < len(words):
             if sel[k] == ESCAPE:
                 head[k + 1] = False
                 k += 1
             k += 1
-    at = np.flatnonzero(head)
-    sel = sel[at]
-    block = np.searchsorted(first.astype(np.int64), at, side="right") - 1
+        at = np.flatnonzero(head)
+        sel = sel[at]
+    first = first.astype(np.int64)
+    lead = np.searchsorted(at, first)
+    block = np.repeat(np.arange(len(first)), np.diff(np.append(lead, len(at))))
     counts = _COUNT[sel]
     total = np.cumsum(counts) - counts
-    begin = total[np.searchsorted(at, first.astype(np.int64))]
-    start = total - begin[block] + block * BLOCK
-    out = np.zeros((int(block[-1]) + 1) * BLOCK + 240, np.uint64)
-    end = np.minimum((block + 1) * BLOCK, n)
-    for s in np.unique(sel):
-        m = sel == s
+    start = total - total[lead][block] + block * ROW
+    out = np.zeros(len(first) * ROW, np.uint64)
+    for s in np.unique(sel).tolist():
+        m = np.flatnonzero(sel == s)
         if s == ESCAPE:
             out[start[m]] = words[at[m] + 1]
             continue
         count, width = SELECTORS[s]
-        mask = np.uint64((1 << width) - 1)
+        mask, word, to = np.uint64((1 << width) - 1), words[at[m]], start[m]
         for k in range(count if width else 0):
-            pos = start[m] + k
-            ok = pos < end[m]
-            out[pos[ok]] = (words[at[m][ok]] >> np.uint64(k * width)) & mask
-    return out[:n]
+            out[to + k] = (word >> np.uint64(k * width)) & mask
+    return out.reshape(-1, ROW)[:, :BLOCK].ravel()[:n]
 
 
 def file_bytes(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
