@@ -109,11 +109,11 @@ class Index:
                         spots.setdefault(t, []).append((p - lo, p - lo - q))
             words = [flat[k][a - bounds[k] : b - bounds[k]] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
             for t, found in spots.items():
-                done, a = -1, self.words[t]
+                done, a = 0, self.words[t]
                 for p, shift in sorted(found):
                     if p < done:
                         continue
-                    at = max(0, shift - BAND)
+                    at = max(done, shift - BAND)
                     n, i, j = align(a, words[at : shift + len(a) + BAND], shift - at, BAND)
                     if n:
                         out[k].append((t, n, n / len(a), int(starts[lo + at + i] - bounds[k]), int(ends[lo + at + j - 1] - bounds[k])))
