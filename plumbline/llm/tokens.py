@@ -51,7 +51,7 @@ class _Kept(dict):
 class Encoder:
     """Texts to little-endian uint32 ids. limit bounds the chunks and the pieces kept."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -75,7 +75,12 @@ class Encoder:
         return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown))
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(chunk.lower())))
+        low = chunk.lower()
+        if low.isalpha():  # one piece, and so is the mark after it, if it is one of these
+            return self.pieces[low]
+        if low[-1] in ",." and low[:-1].isalpha():
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(low)))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
