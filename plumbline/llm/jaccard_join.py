@@ -36,7 +36,7 @@ PERCENT = 80
 SHARE, LEAST = 3, 4
 #: Cells of the sketch, whatever the corpus: 4 MB where it is read.
 CELLS, CELL_ROWS = 1 << 22, 64
-GROUP = 128
+GROUP = 512
 QUERIES = 4096
 
 
@@ -198,30 +198,30 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
     sets = written(entries.where("members is not null").groupBy("k").agg(F.first("members").alias("members")), "entry-sets")
     tokens = entries.where("members is null").select("token", "k", "n", "score").distinct()
     held = tokens.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max(F.struct("score", "k", "n")).alias("p")).where("lo <> hi")
-    tokens = written(tokens.join(held.select("token", F.col("p.k").alias("p"), F.col("p.n").alias("pn")), "token"), "matrix")
+    tokens = written(tokens.hint("merge").join(held.select("token", F.col("p.k").alias("p"), F.col("p.n").alias("pn")), "token"), "matrix")
     dropped(entries)
     # groups of one: the most central entry at each shingle
     ask = written(tokens.where((F.col("k") != F.col("p")) & fits(F.col("n"), F.col("pn"))).select("p", "k").distinct(), "first-queries")
     shares = ask.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares"))
     members = shares.select(F.col("p"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("p").alias("k"))
-    queries = ask.join(shares, "p").select("p", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("share"), "k")
+    queries = ask.hint("merge").join(shares, "p").select("p", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("share"), "k")
     named = lambda d: d.select(F.xxhash64("p", "share").alias("g"), "k", F.col("k").alias("root"))
     first = _opened(named(members), named(queries), sets, percent, "first-links")
     roots = written(connected(first), "first-roots")
     # groups of many: chunks of components
-    rooted = written(tokens.where("k <> p").join(roots, "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
+    rooted = written(tokens.where("k <> p").hint("merge").join(roots, "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
     per = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    mixed = written(rooted.join(per.where("roots > 1").select("token", F.col("most.root").alias("main")), "token"), "mixed")
+    mixed = written(rooted.hint("merge").join(per.where("roots > 1").select("token", F.col("most.root").alias("main")), "token"), "mixed")
     alike = mixed.groupBy("k").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min("token").alias("lead"))
     large = alike.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= GROUP).select("root", F.lit(True).alias("large"))
     alike = alike.join(large, "root", "left").select("k", "n", "root", F.when(F.col("large"), F.struct("large", F.col("root").alias("x"))).otherwise(F.struct(F.lit(False).alias("large"), F.col("lead").alias("x"))).alias("by"))
     slots = alike.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("slots"))
-    band = F.floor(F.log(1.1, F.col("n")))
+    band = F.floor(F.log(1.25, F.col("n")))
     held = written(alike.join(slots, "by").select("k", F.xxhash64("by", band, F.pmod(F.xxhash64("k"), F.col("slots"))).alias("g")), "groups")
-    grouped = written(mixed.join(held, "k").select("token", "k", "n", "root", "main", "g"), "grouped")
+    grouped = written(mixed.hint("merge").join(held, "k").select("token", "k", "n", "root", "main", "g"), "grouped")
     unions = grouped.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     asking = grouped.where("root <> main").select("token", "k", F.col("n").alias("qn"), "root")
-    open_ = asking.join(unions, "token").where(((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))) & (100 * F.col("most") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("least")))
+    open_ = asking.hint("merge").join(unions, "token").where(((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))) & (100 * F.col("most") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("least")))
     queries = written(open_.groupBy("g", "k", "root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARE).select("g", "k", "root"), "queries")
     members = grouped.select("g", "k", "root").distinct().join(queries.select("g").distinct(), "g", "left_semi")
     return first.union(_opened(members, queries, sets, percent, "links"))
