@@ -107,7 +107,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
 
 
 def rolling(values: np.ndarray, width: int, second: bool = False) -> np.ndarray:
@@ -174,16 +174,13 @@ def packed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def text_slices(batches, limit: int):
     """(ids, texts as bytes or None) slices of Arrow batches with at most about limit bytes, one text at least."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-        lo, size = 0, 0
-        for k, t in enumerate(texts):
-            n = len(t) if t else 0
-            if k > lo and size + n > limit:
-                yield ids[lo:k], texts[lo:k]
-                lo, size = k, 0
-            size += n
-        if lo < len(texts):
-            yield ids[lo:], texts[lo:]
+        texts = batch.column(1).cast(pa.large_binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        lo, done = 0, 0
+        while lo < len(ends):  # one slice at a time becomes Python objects
+            hi = max(lo + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield batch.column(0).slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist()
+            lo, done = hi, int(ends[hi - 1])

@@ -227,7 +227,7 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
     return first.union(_opened(members, queries, sets, percent, "links"))
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, batch_bytes: int = 2 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, batch_bytes: int = 1 << 20) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id. percent must be over 75, for LEAST to hold."""
     if not 75 < percent <= 100:
         raise ValueError("percent must be over 75 and at most 100")

@@ -126,7 +126,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     index = Index(TEMPLATES if templates is None else templates)
 
     def run(it):
-        for ids, texts in text_slices(it, 4 << 20):
+        for ids, texts in text_slices(it, 1 << 20):
             texts = [t or b"" for t in texts]
             rows = []
             for doc, text, found in zip(ids, texts, index.batch(texts)):

@@ -197,7 +197,7 @@ def _earlier(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids > g.spread(least)
 
 
-def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 2 << 20, bucket_keys: int = 1 << 21, passes: int = 1) -> DataFrame:
+def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 20, bucket_keys: int = 1 << 21, passes: int = 1) -> DataFrame:
     """finish(batch, unit starts of windows repeated from a smaller id or, of kind.own, from before) as RecordBatch.
 
     kind.prepare(batch) -> state; kind.anchors(state) -> keys of anchors in position order; kind.windows(state, flags)
