@@ -33,6 +33,8 @@ ESCAPE = 1
 #: (ids, bits) by selector (fixed values of the coding).
 SELECTORS = ((240, 0), (1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _COUNT = np.array([n for n, _ in SELECTORS])
+#: Widths of the ids that tokenizers have.
+_BITS = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
 _FROM = np.array([1 << b for b in range(64)], np.uint64)
 
 
@@ -48,13 +50,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     grid[:full, :BLOCK] = ids[: full * BLOCK].reshape(full, BLOCK)
     grid[full:, : n - full * BLOCK] = ids[full * BLOCK :]
     flat = grid.ravel()
-    bits = np.searchsorted(_FROM, flat, side="right").astype(np.uint8)
-    choice = np.full(len(flat), ESCAPE, np.uint8)
-    at = np.flatnonzero(bits <= 60)
-    for s in range(15, -1, -1):  # from few wide ids to many narrow ones: the last that fits wins
+    top = int(flat.max())
+    bits = _BITS[flat] if top < len(_BITS) else np.searchsorted(_FROM, flat, side="right").astype(np.uint8)
+    # the narrowest width that holds every id fits everywhere; narrower ones are looked for where they can be
+    common = max((s for s, (_, w) in enumerate(SELECTORS) if s != ESCAPE and 1 << w > top), key=lambda s: SELECTORS[s][0], default=None)
+    choice = np.full(len(flat), ESCAPE if common is None else common, np.uint8)
+    at = np.flatnonzero(bits <= 60) if common is None else None
+    for s in range(15 if common is None else common - 1, -1, -1):  # from few wide ids to many narrow ones: the last that fits wins
         if s != ESCAPE:
             count, width = SELECTORS[s]
-            at = at[bits[at] <= width]
+            at = np.flatnonzero(bits <= width) if at is None else at[bits[at] <= width]
             if len(at) >= count:
                 choice[at[: len(at) - count + 1][at[count - 1 :] - at[: len(at) - count + 1] == count - 1]] = s
     lens = np.full(blocks, BLOCK)
