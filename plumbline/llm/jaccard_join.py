@@ -5,12 +5,14 @@ fixed size over all documents (its errors change the order's quality, not the re
 n - ceil(0.8 n) + SHARE shingles in that order; two sets that link share SHARE shingles of both prefixes, so only
 prefix shingles that several entries have matter. Of those the matrix says which groups of entries hold them.
 
-First, each such shingle's most central entry is a group of its own, which the entries at that shingle open: this
-links most of every cluster in as many checks as there are entries. Then groups are chunks of the large components
-found and, where components are small, chunks of entries with the same least shingle, always alike in size; an entry is a query to a group of another component only where the group's shingle union has SHARE
-shingles of its prefix and the sizes admit a link, and only entries outside the largest component at a shingle need to
-ask. (A shingle's central entry needs no second check there.) An opened group is checked exactly, on 48-bit names of
-shingles. No pair of entries in different components that could link goes unchecked.
+First, each such shingle's most central entry is a group of its own, opened by the entries that meet it at SHARE
+shingles or more: this links most of every cluster in as many checks as there are entries. Then groups are chunks of
+the large components found and, where components are small, chunks of entries with the same most frequent shingle,
+always alike in size; so a shingle that very many entries have is in few groups. An entry is a query to a group only
+where the group's shingle union has SHARE shingles of its prefix, the sizes admit a link, and the group has an entry of
+a component that comes later in one order of all components, by size; so of two entries in different components one
+asks, at every shingle that they share. An opened group is checked exactly, on 48-bit names of shingles. No pair of
+entries in different components that could link goes unchecked.
 
 Words are lower-cased A-Z; a set is the distinct 5-word shingles, of a shorter text the whole sequence. Texts without
 words are empty and alone. Rows that repeat a doc_id are rows of their own; a null id is never a component's id unless
@@ -201,7 +203,8 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
     tokens = written(tokens.hint("merge").join(held.select("token", F.col("p.k").alias("p"), F.col("p.n").alias("pn")), "token"), "matrix")
     dropped(entries)
     # groups of one: the most central entry at each shingle
-    ask = written(tokens.where((F.col("k") != F.col("p")) & fits(F.col("n"), F.col("pn"))).select("p", "k").distinct(), "first-queries")
+    meet = tokens.where((F.col("k") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy("p", "k").agg(F.count(F.lit(1)).alias("c"))
+    ask = written(meet.where(F.col("c") >= SHARE).select("p", "k"), "first-queries")
     shares = ask.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares"))
     members = shares.select(F.col("p"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("p").alias("k"))
     queries = ask.hint("merge").join(shares, "p").select("p", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("share"), "k")
@@ -209,20 +212,24 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
     first = _opened(named(members), named(queries), sets, percent, "first-links")
     roots = written(connected(first), "first-roots")
     # groups of many: chunks of components
-    rooted = written(tokens.where("k <> p").hint("merge").join(roots, "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
-    per = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    mixed = written(rooted.hint("merge").join(per.where("roots > 1").select("token", F.col("most.root").alias("main")), "token"), "mixed")
-    alike = mixed.groupBy("k").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min("token").alias("lead"))
-    large = alike.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= GROUP).select("root", F.lit(True).alias("large"))
-    alike = alike.join(large, "root", "left").select("k", "n", "root", F.when(F.col("large"), F.struct("large", F.col("root").alias("x"))).otherwise(F.struct(F.lit(False).alias("large"), F.col("lead").alias("x"))).alias("by"))
+    rooted = written(tokens.hint("merge").join(roots, "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
+    per = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("often")).where("lo <> hi").select("token", "often")
+    mixed = written(rooted.hint("merge").join(per, "token"), "mixed")
+    dropped(rooted)
+    alike = written(mixed.groupBy("k").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.max(F.struct("often", "token")).alias("lead")), "alike")
+    sizes = alike.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
+    large = F.col("c") >= GROUP
+    alike = alike.join(sizes, "root").select("k", "n", "c", F.struct(large.alias("large"), F.when(large, F.col("root")).otherwise(F.col("lead.token")).alias("x")).alias("by"))
     slots = alike.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("slots"))
     band = F.floor(F.log(1.25, F.col("n")))
-    held = written(alike.join(slots, "by").select("k", F.xxhash64("by", band, F.pmod(F.xxhash64("k"), F.col("slots"))).alias("g")), "groups")
-    grouped = written(mixed.hint("merge").join(held, "k").select("token", "k", "n", "root", "main", "g"), "grouped")
-    unions = grouped.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    asking = grouped.where("root <> main").select("token", "k", F.col("n").alias("qn"), "root")
-    open_ = asking.hint("merge").join(unions, "token").where(((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))) & (100 * F.col("most") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("least")))
-    queries = written(open_.groupBy("g", "k", "root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= SHARE).select("g", "k", "root"), "queries")
+    held = written(alike.join(slots, "by").select("k", "c", F.xxhash64("by", band, F.pmod(F.xxhash64("k"), F.col("slots"))).alias("g")), "groups")
+    grouped = written(mixed.hint("merge").join(held, "k").select("token", "k", "n", "root", "c", "g"), "grouped")
+    dropped(mixed)
+    unions = grouped.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.struct("c", "root")).alias("top"))
+    asking = grouped.select("token", "k", F.col("n").alias("qn"), "root", "c")
+    later = (F.col("top.c") > F.col("c")) | ((F.col("top.c") == F.col("c")) & (F.col("top.root") > F.col("root")))
+    open_ = asking.hint("merge").join(unions, "token").where(later & (100 * F.col("most") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("least")))
+    queries = written(open_.groupBy("g", "k", "root").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= SHARE).select("g", "k", "root"), "queries")
     members = grouped.select("g", "k", "root").distinct().join(queries.select("g").distinct(), "g", "left_semi")
     return first.union(_opened(members, queries, sets, percent, "links"))
 
