@@ -17,8 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch between Spark and a Python worker, where the session sets no bound.
+ARROW_BYTES = 8 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to ARROW_BYTES, unless it was given a bound: rows of any length, bounded memory."""
+    if _ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id as long and the text, whatever other columns there are."""
+    """The id as long and the text, whatever other columns there are. Their session's Arrow batches are bounded."""
+    bounded(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

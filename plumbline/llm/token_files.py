@@ -164,6 +164,19 @@ def _put(where: str, name: str, data: bytes) -> None:
     system.move(part, f"{root}/{name}")
 
 
+def _ordered(d: DataFrame) -> DataFrame:
+    """Ranges of ids, sorted. The ranges are found from the ids alone; only if an id fills a range, rows that repeat it
+    are split by their texts, which takes a pass over these."""
+    parts, keys = shuffle_partitions(d.sparkSession), ["doc_id", F.xxhash64("text")]
+    cuts = d.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0]
+    if not cuts or len(set(cuts)) < len(cuts):
+        return d.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    at, steps = F.array(*map(F.lit, cuts)), [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    # by halving: the number of cuts below the id; nulls come first
+    below = lambda n, s: F.when((n + s <= len(cuts)) & (F.get(at, n + s - 1) < F.col("doc_id")), n + s).otherwise(n)
+    return d.repartitionById(parts, F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), below)).sortWithinPartitions(*keys)
+
+
 def write_files(docs: DataFrame, where: str, path: str | None = None, end_id: int = 2, ids_per_file: int = 1 << 21) -> list:
     """Write the ids of all documents to files in `where`; (file, ids) of each, in order: one small row a file."""
     spark, path = docs.sparkSession, path or default_path()
@@ -194,9 +207,7 @@ def write_files(docs: DataFrame, where: str, path: str | None = None, end_id: in
         if docs_:
             yield put()
 
-    d = id_text(docs)
-    keys = ["doc_id", F.xxhash64("text")]  # the second splits rows that repeat an id
-    ordered = d.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    ordered = _ordered(id_text(docs))
     before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     try:

@@ -32,24 +32,27 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
-class _Kept(dict):
-    """Looked up or made; of two generations of `limit` entries the older goes, what is still in use moves up."""
+class _Chunks(dict):
+    """Ids by chunk, looked up or made; of two generations of `limit` chunks the older goes, what is still in use moves up."""
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= self.limit:
-            self.older = dict(self)
+            self.older = {}  # free before the copy
+            self.older = self.copy()
             self.clear()
-        out = self.older.get(key)
-        self[key] = out = self.make(key) if out is None else out
+        self[key] = out
         return out
 
 
 class Encoder:
-    """Texts to little-endian uint32 ids. limit bounds the chunks and the pieces kept."""
+    """Texts to little-endian uint32 ids. limit bounds the chunks kept."""
 
     def __init__(self, path: str, limit: int = 500_000):
         import regex
@@ -64,23 +67,29 @@ class Encoder:
         if self.known:
             self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
             self.names = _byte_names()
-        self.pieces = _Kept(self._piece, limit)
-        self.chunks = _Kept(self._chunk, limit)
+        self.tokens = self.tokenizer.model.tokenize
+        self.bytes_of = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        self.marks: dict[str, bytes] = {}
+        if self.known:
+            self.marks = {c: self._piece(c) for c in map(chr, range(33, 127))}
+        self.chunks = _Chunks(self._chunk, limit)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        if len(piece) == 1 and (one := self.marks.get(piece)):
+            return one
         shown = piece if piece.isascii() else "".join(map(self.names.__getitem__, piece.encode()))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown))
+        return b"".join([self.bytes_of[t.id] for t in self.tokens(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
         low = chunk.lower()
         if low.isalpha():  # one piece, and so is the mark after it, if it is one of these
-            return self.pieces[low]
-        if low[-1] in ",." and low[:-1].isalpha():
-            return self.pieces[low[:-1]] + self.pieces[low[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.split(low)))
+            return self._piece(low)
+        if low[-1] in ",." and (word := low[:-1]).isalpha():
+            return (self.chunks.get(word) or self._piece(word)) + self._piece(low[-1])
+        return b"".join(map(self._piece, self.split(low)))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
