@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 
 
-def _print_of(edges: DataFrame):
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u: then every v is the least of its component."""
+    per = edges.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    inner = edges.select(F.col("v").alias("u")).distinct().join(per, "u", "left_semi")
+    return per.where("c > 1").select("u").union(inner).isEmpty()
 
 
 def connected(links: DataFrame) -> DataFrame:
     """links (a, b: long) to one row (k, root) for each linked k, root being the smallest k reachable."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    now = _print_of(edges)
-    while now[0]:
+    while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -25,7 +27,5 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = written(small.where("u > v").distinct(), "small-star")
         dropped(edges, large)
-        edges, before, now = after, now, _print_of(after)
-        if now == before:
-            break
+        edges = after
     return edges.select(F.col("u").alias("k"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
