@@ -137,7 +137,7 @@ def _entries(texts: DataFrame, log: np.ndarray, size: int, percent: int) -> Data
             for i, (k, s, p, score) in enumerate(out):
                 hit = p[flags[at : at + len(p)]]
                 at += len(p)
-                if len(hit):
+                if len(hit) >= SHARE:  # with fewer there is no link
                     token.append(hit)
                     owner.append(np.full(len(hit), len(rest)))
                     rest.append((k, len(s), score, pack_run(s >> np.uint64(16))))
