@@ -11,7 +11,7 @@ the large components found and, where components are small, chunks of entries wi
 always alike in size; so a shingle that very many entries have is in few groups. An entry is a query to a group only
 where the group's shingle union has SHARE shingles of its prefix, the sizes admit a link, and the group has an entry of
 a component that comes later in one order of all components, by size; so of two entries in different components one
-asks, at every shingle that they share. An opened group is checked exactly, on 48-bit names of shingles. No pair of
+asks, at every shingle that they share. An opened group is checked exactly, on 40-bit names of shingles. No pair of
 entries in different components that could link goes unchecked.
 
 Words are lower-cased A-Z; a set is the distinct 5-word shingles, of a shorter text the whole sequence. Texts without
@@ -140,7 +140,7 @@ def _entries(texts: DataFrame, log: np.ndarray, size: int, percent: int) -> Data
                 if len(hit) >= SHARE:  # with fewer there is no link
                     token.append(hit)
                     owner.append(np.full(len(hit), len(rest)))
-                    rest.append((k, len(s), score, pack_run(s >> np.uint64(16))))
+                    rest.append((k, len(s), score, pack_run(s >> np.uint64(24))))
             if not rest:
                 continue
             token, owner = np.concatenate(token).view(np.int64), np.concatenate(owner)
