@@ -3,7 +3,8 @@
 Words are runs of letters and digits in lower case. Every GRAM words of a template are hashed and the least hash of
 each WINDOW neighbours is kept; a text's hashes are winnowed alike, so a run of GRAM + WINDOW - 1 words in common is
 always found. Hits near one diagonal are a candidate; a banded alignment of template and text there counts matched
-words and gives the span. Reported are alignments that cover `coverage` of the template's words.
+words and gives the span. Reported are alignments that cover `coverage` of the template's words; a partial mention,
+which covers less, takes nothing from a notice beside it.
 
 Null and empty texts have no licenses; a document has a row for each place found, in order, none overlapping another
 of the same license; rows that repeat are scanned each. Offsets are code points, ends exclusive.
@@ -11,7 +12,10 @@ of the same license; rows that repeat are scanned each. Offsets are code points,
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +76,40 @@ def align(a: list, b: list, shift: int, band: int) -> tuple[int, int, int]:
     return best
 
 
+def places(a: list, words: list, shifts: set[int], coverage: float) -> list[tuple[int, int, int]]:
+    """(matched, first, end) in words of alignments of template a that cover `coverage`, none overlapping another.
+
+    Where alignments overlap, the one with the most matched words stays and another is aligned anew beside it.
+    """
+    need, ends, taken = Counter(a), [], []
+    queue: list[tuple] = []
+
+    def put(shift: int, lo: int, hi: int) -> None:
+        part = words[lo:hi]
+        # no alignment matches more words than the two have in common
+        if sum(min(n, need[w]) for w, n in Counter(part).items() if w in need) < coverage * len(a):
+            return
+        n, i, j = align(a, part, shift - lo, BAND)
+        if n and n / len(a) >= coverage:
+            heapq.heappush(queue, (-n, j - i, lo + i, lo + j, shift, lo, hi))
+
+    for shift in shifts:
+        put(shift, max(0, shift - BAND), min(len(words), shift + len(a) + BAND))
+    while queue:
+        n, _, i, j, shift, lo, hi = heapq.heappop(queue)
+        # the first place that ends after this one begins
+        at = bisect.bisect_right(ends, i)
+        if at == len(taken) or taken[at][1] >= j:
+            ends.insert(at, j)
+            taken.insert(at, (-n, i, j))
+        else:
+            if lo < taken[at][1]:
+                put(shift, lo, taken[at][1])
+            if taken[at][2] < hi:
+                put(shift, taken[at][2], hi)
+    return taken
+
+
 class Index:
     """The templates' winnowed fingerprints to (template, place)."""
 
@@ -86,8 +124,8 @@ class Index:
                 self.at.setdefault(int(h[p]), []).append((t, p))
         self.known = np.array(sorted(self.at), np.uint64)
 
-    def batch(self, texts: list[bytes]) -> list[list[tuple[int, int, float, int, int]]]:
-        """Per text (template, matched words, coverage, start byte, end byte)."""
+    def batch(self, texts: list[bytes], coverage: float = COVERAGE) -> list[list[tuple[int, int, float, int, int]]]:
+        """Per text (template, matched words, share, start byte, end byte) of alignments that cover `coverage`."""
         flat = [_flat(t) for t in texts]
         buf, bounds = packed_texts(flat)
         starts, ends, hashes, first = words_of(buf, bounds)
@@ -109,15 +147,9 @@ class Index:
                         spots.setdefault(t, []).append((p - lo, p - lo - q))
             words = [flat[k][a - bounds[k] : b - bounds[k]] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
             for t, found in spots.items():
-                done, a = 0, self.words[t]
-                for p, shift in sorted(found):
-                    if p < done:
-                        continue
-                    at = max(done, shift - BAND)
-                    n, i, j = align(a, words[at : shift + len(a) + BAND], shift - at, BAND)
-                    if n:
-                        out[k].append((t, n, n / len(a), int(starts[lo + at + i] - bounds[k]), int(ends[lo + at + j - 1] - bounds[k])))
-                        done = at + j
+                a = self.words[t]
+                for n, i, j in places(a, words, {shift for _, shift in found}, coverage):
+                    out[k].append((t, n, n / len(a), int(starts[lo + i] - bounds[k]), int(ends[lo + j - 1] - bounds[k])))
         return out
 
 
@@ -129,10 +161,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
         for ids, texts in text_slices(it, 1 << 20):
             texts = [t or b"" for t in texts]
             rows = []
-            for doc, text, found in zip(ids, texts, index.batch(texts)):
+            for doc, text, found in zip(ids, texts, index.batch(texts, coverage)):
                 for t, n, share, a, b in sorted(found, key=lambda f: (f[3], f[0])):
-                    if share >= coverage:
-                        rows.append((doc, index.names[t], share, n, len(text[:a].decode()), len(text[:b].decode())))
+                    rows.append((doc, index.names[t], share, n, len(text[:a].decode()), len(text[:b].decode())))
             cols = list(zip(*rows)) if rows else [()] * 6
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "license", "coverage", "n_matched", "start", "end"])

@@ -285,6 +285,26 @@ def test_licenses(spark):
     assert [x[:3] for x in by[6]] == [("MIT", 0, 30), ("MIT", 34, 64)] and set(by) == {1, 2, 6}
 
 
+def test_licenses_partial_mention_before_notice(spark):
+    full = licenses.TEMPLATES
+    docs = [(1, "This file is Licensed under the Apache License, Version 2.0 notice below. " + full["Apache-2.0-header"]), (2, "see the GNU General Public License for details. " + full["GPL-3.0-header"])]
+    n = 2
+    for name in ("Apache-2.0-header", "GPL-3.0-header", "MIT-grant", "BSD-3-Clause"):
+        w = full[name].split()
+        for k in range(3, len(w)):
+            docs.append((n := n + 1, f"{' '.join(w[:k])} {full[name]} {' '.join(w[-k:])}"))
+    got = defaultdict(list)
+    for r in licenses.scan_licenses(docs_of(spark, docs)).collect():
+        got[r.doc_id].append((r.license, r.start, r.end, r.coverage))
+    text = dict(docs)
+    for d, t in text.items():
+        name = next(x for x in ("Apache-2.0-header", "GPL-3.0-header", "MIT-grant", "BSD-3-Clause") if full[x] in t)
+        mine = sorted(x for x in got[d] if x[0] == name)
+        at = {i for i in range(len(t)) if t.startswith(full[name], i)}
+        assert any(x[1] in at and x[2] - x[1] == len(full[name]) and x[3] == 1.0 for x in mine), (d, t, mine)
+        assert all(x[2] <= y[1] for x, y in zip(mine, mine[1:]))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
