@@ -22,13 +22,17 @@ from .common import id_text
 
 @dataclass(frozen=True)
 class Rule:
-    """min_chars counts the whole match, or what follows head if there is one. Shorter matches are consumed and dropped."""
+    """min_chars counts the whole match, or what follows head if there is one. Shorter matches are consumed and dropped.
+
+    A match runs on over tail, as far as that goes; tail must match the empty text too and end on ASCII.
+    """
 
     kind: str
     pattern: str
     min_chars: int = 1
     head: str | None = None
     fold: bool = False
+    tail: str = ""
 
 
 _ASSIGN = "(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
@@ -40,9 +44,21 @@ BASE = (
     Rule("hex", "[0-9a-f]{32,}", 32),
 )
 
+#: A PEM key's body. Line ends may be written as \n or \r; lines may be indented, quoted or joined by + or commas.
+_EOL = "(\\x0d|\\x0a|\\\\r|\\\\n)"
+_GAP = "\\x20\\x09\"'>#*+,;|"
+_B64 = "[A-Za-z0-9+/=]"
+_FIELD = "[A-Za-z][A-Za-z0-9-]*:[\\x09\\x20-\\x5b\\x5d-\\x7e\\x80-\\xff]*"
+#: Up to an END line, all that is base64, header fields and space. Without one, the base64 that begins each line and
+#: runs of 40 or more behind a gap with what follows them: a word after the key may go too, but no part of it stays.
+_PEM_TAIL = (
+    f"(([A-Za-z0-9/={_GAP}]|{_EOL}|{_EOL}[{_GAP}]*{_FIELD})*-----END( [A-Z0-9]+)* PRIVATE KEY-----"
+    f"|(([{_GAP}]*{_EOL})+[{_GAP}]*({_FIELD}({_EOL}[{_GAP}]*)+)*{_B64}+|[{_GAP}]*{_B64}{{40,}}([{_GAP}]*{_B64}+)?)*)"
+)
+
 #: Published shapes of keys and tokens (fixed values).
 MORE = (
-    Rule("private_key", "-----BEGIN( [A-Z0-9]+)* PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN( [A-Z0-9]+)* PRIVATE KEY-----", tail=_PEM_TAIL),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", "AIza[A-Za-z0-9_-]+", 39),
@@ -61,7 +77,7 @@ class Scanner:
         one = [(r.pattern, r.fold) for r in self.rules]
         self.search = [compiled([p], search=True) for p in one]
         self.back = [compiled([p], search=False, backward=True) for p in one]
-        self.run = [compiled([p], search=False) for p in one]
+        self.run = [compiled([(r.pattern + r.tail, r.fold)], search=False) for r in self.rules]
         self.head = [compiled([(r.head, r.fold)], search=False) if r.head else None for r in self.rules]
 
     def _start(self, k: int, data: bytes, lo: int, end: int) -> int:
