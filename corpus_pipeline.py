@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard_join, packing, quality, secrets
-from plumbline.llm.common import fresh_path, table
+from plumbline.llm.common import fresh_path, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,9 +15,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    groups = jaccard_join.jaccard_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates one row, that with the smallest id; a null id comes after all others.
+
+    Rows are told apart by a number of their own, not by doc_id: of rows that repeat an id, or have none, one stays for
+    each group, and a row without words, which is in no group, stays.
+    """
+    # numbers are given once, as rows may come in another order when they are read again
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    group = jaccard_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    group = group.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("_id"))
+    first = ids.join(group, "_row").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
+    return rows.join(first.select("_first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -322,6 +322,19 @@ def test_licenses_partial_mention_before_notice(spark):
         assert all(x[2] <= y[1] for x, y in zip(mine, mine[1:]))
 
 
+def test_near_duplicate_stage_nulls_and_repeated_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d, e, f = (prose(rng, 60, 5000) for _ in range(6))
+    near = lambda t: t + " and more"
+    rows = [(None, a), (5, b), (5, b), (5, b), (1, c), (7, near(c)), (7, d), (None, e), (None, e), (None, near(f)), (9, f), (None, None), (None, ""), (3, None), (3, None)]
+    out = corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, rows), SF)
+    assert out.columns == ["doc_id", "text", "n_words", "batch"]
+    kept = [(None, a), (5, b), (1, c), (7, d), (None, e), (9, f), (None, None), (None, ""), (3, None), (3, None)]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(kept)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
