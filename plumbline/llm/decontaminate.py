@@ -7,7 +7,10 @@ shingles. Shingles that fewer items share weigh more. Words are runs of letters
 Windows are laid where a document has a shingle of an item (without one no similarity is reached, so none is missed).
 Each window has a 64-bit SimHash. Item fingerprints are indexed in 8 blocks of 8 bits with every value up to 2 bits
 away: of any two fingerprints at most RADIUS = 23 bits apart some block is at most 2 apart, so the equality join on
-(block, value) finds all fingerprints within the radius. Exact similarity then decides.
+(block, value) finds all fingerprints within the radius. A SimHash counts all shingles alike, so where items share
+many, a window of high weighted similarity can be further away. No radius is safe then; such windows are found by the
+item's rarest shingles, RARE in items(): those that leave too little weight for a leak if a document has none of them.
+Exact similarity then decides; hamming is what the fingerprints differ by, and may be over RADIUS.
 
 Null and empty texts, on either side, leak nothing; an item of fewer than five words is one shingle. Rows that repeat
 an id are judged alike: an id leaks if any of its rows does.
@@ -71,8 +74,11 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Per item: its words, shingles, their weights and its fingerprint."""
+def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per item: its words, shingles, their weights and its fingerprint.
+
+    rare are its heaviest shingles, of which any window with the threshold's share of the weight has one at least.
+    """
     b = id_text(benchmark, id_col, text_col).withColumnRenamed("doc_id", "item_id").withColumn("_w", _words(F.col("text")))
     b = b.select("item_id", F.size("_w").alias("m"), _shingles(F.col("_w")).alias("hs")).where("m > 0")
     b = written(b.select("item_id", "m", "hs", _simhash(F.col("hs")).alias("fp")), "items")
@@ -80,13 +86,18 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
     # the rarer a shingle among the items, the more it weighs: 1000 for one item's, less by its number of items
     weight = h.groupBy("h").agg(F.countDistinct("item_id").alias("n")).select("h", F.greatest(F.lit(1), F.floor(1000 / F.col("n"))).cast("long").alias("w"))
     rows = b.select("item_id", "m", "fp", "hs", F.explode(F.array_distinct("hs")).alias("h")).join(weight, "h")
-    return written(rows.groupBy("item_id", "m", "fp", "hs").agg(F.collect_list(F.struct("h", "w")).alias("ws"), F.sum("w").alias("total")), "weighted-items")
+    per = rows.groupBy("item_id", "m", "fp", "hs").agg(F.sort_array(F.collect_list(F.struct("w", "h")), asc=False).alias("by"), F.sum("w").alias("total"))
+    # what is left without the first ones; as soon as that is too little, they are enough
+    left = F.aggregate("by", F.struct(F.col("total").alias("left"), F.lit(0).alias("n")), lambda a, x: F.when(a["left"] / F.col("total") >= threshold, F.struct((a["left"] - x["w"]).alias("left"), (a["n"] + 1).alias("n"))).otherwise(a))
+    rare = F.transform(F.slice("by", F.lit(1), left["n"]), lambda x: x["h"])
+    return written(per.select("item_id", "m", "fp", "hs", F.transform("by", lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))).alias("ws"), "total", rare.alias("rare")), "weighted-items")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The best window of each document and item that leak: doc_id, item_id, start (word), hamming, similarity."""
-    it = items(benchmark)
-    keys = written(it.select("item_id", "m", F.posexplode("hs").alias("q", "h")), "item-shingles")
+    it = items(benchmark, threshold=threshold)
+    keys = it.select("item_id", "m", "rare", F.posexplode("hs").alias("q", "h")).withColumn("rare", F.array_contains("rare", F.col("h")))
+    keys = written(keys, "item-shingles")
     known = _sized(written(keys.select("h").distinct(), "known-shingles"))
     d = id_text(docs).select("doc_id", _shingles(_words(F.col("text"))).alias("hs"))
     # short items are one shingle of fewer words; a window of that many words has to be cut for them
@@ -105,7 +116,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     lo, hi = F.greatest(F.col("start"), F.lit(0)), F.col("start") + F.col("m") - SHINGLE + 1
     part = F.slice("hs", lo + 1, F.greatest(F.least(hi, F.size("hs")) - lo, F.lit(1)))
     windows = starts.join(near, "doc_id").select("doc_id", "m", "start", part.alias("win"))
-    windows = windows.withColumn("fp", _simhash(F.col("win")))
+    windows = written(windows.withColumn("fp", _simhash(F.col("win"))), "windows")
+    # documents and items that have a rare shingle in common; their windows are laid by all that they have in common
+    met = written(place.where(F.col("rare") & (F.col("m") >= SHINGLE)).select("doc_id", "item_id").distinct(), "rare-pairs")
+    laid = place.join(_sized(met), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "m", (F.col("pos") - F.col("q")).alias("start")).distinct()
     block = lambda fp, k: F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255)).cast("int")
     index = it.select("item_id", "m", F.col("fp").alias("item_fp"), "ws", "total", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("at")) for k in range(BLOCKS)])).alias("b"))
     index = index.select("item_id", "m", "item_fp", "b.block", F.explode(F.array(*[F.col("b.at").bitwiseXOR(F.lit(x)) for x in _MASKS])).alias("value"))
@@ -115,7 +129,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     # a pair that agrees in several blocks counts in the first of them
     agree = lambda k: F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), 8 * k).bitwiseAND(F.lit(255))) <= NEAR
     first = F.coalesce(*[F.when(agree(k), F.lit(k)) for k in range(BLOCKS)])
-    pairs = found.where(F.col("block") == first).join(_sized(written(it.select("item_id", "ws", "total"), "item-weights")), "item_id")
+    pairs = found.where(F.col("block") == first).select("doc_id", "item_id", "start", "hamming", "win")
+    prints = _sized(written(it.select("item_id", F.col("fp").alias("item_fp")), "item-prints"))
+    far = laid.join(windows, ["doc_id", "m", "start"]).join(prints, "item_id").withColumn("hamming", apart).where(F.col("hamming") > RADIUS)
+    pairs = pairs.union(far.select(*pairs.columns)).join(_sized(written(it.select("item_id", "ws", "total"), "item-weights")), "item_id")
     got = F.aggregate("ws", F.lit(0).cast("long"), lambda a, x: a + F.when(F.array_contains("win", x["h"]), x["w"]).otherwise(F.lit(0).cast("long")))
     sure = pairs.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), "hamming", (got / F.col("total")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"))).alias("x"))

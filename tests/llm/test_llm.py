@@ -288,6 +288,23 @@ def test_leaks(spark):
     assert {k: v[0] for k, v in got.items()} == want and all(v[1] <= decontaminate.RADIUS for v in got.values())
 
 
+@pytest.mark.parametrize("shared, own", [(8, 12), (12, 8), (28, 12)])
+def test_leaks_of_items_with_a_shared_preamble(spark, shared, own):
+    # so many shingles in common with all items, and of its own
+    rng = random.Random(shared)
+    word = lambda k: f"{k}{rng.randint(0, 10**9)}"
+    pre, n = [word("p") for _ in range(shared + 4)], 60
+    items = [pre + [word("o") for _ in range(own)] for _ in range(n)]
+    docs = [(i, " ".join([word("x") for _ in range(50)] + w[shared:] + [word("x") for _ in range(50)])) for i, w in enumerate(items)]
+    docs += [(900, " ".join(pre))]
+    # a list of items without the preamble
+    docs += [(901, " ".join(x for w in items[:10] for x in w[shared:]))]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.leaks(docs_of(spark, docs), bench).collect()}
+    sim = round(1000 * own / (1000 * own + shared * (1000 // n)), 9)
+    assert got == {(i, i): sim for i in range(n)} | {(901, i): sim for i in range(10)}
+
+
 def test_licenses(spark):
     t = licenses.TEMPLATES["GPL-3.0-header"]
     w = t.split()
