@@ -12,8 +12,9 @@ many, a window of high weighted similarity can be further away. No radius is saf
 item's rarest shingles, RARE in items(): those that leave too little weight for a leak if a document has none of them.
 Exact similarity then decides; hamming is what the fingerprints differ by, and may be over RADIUS.
 
-Null and empty texts, on either side, leak nothing; an item of fewer than five words is one shingle. Rows that repeat
-an id are judged alike: an id leaks if any of its rows does.
+Null and empty texts, on either side, leak nothing; an item of fewer than five words is one shingle. Rows are
+judged by their texts; leaks() has a row for each id and item, with the best window of all rows of that id, and a null
+id is an id like others. leak_rows() tells the texts of one id apart.
 """
 
 from __future__ import annotations
@@ -93,50 +94,64 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
     return written(per.select("item_id", "m", "fp", "hs", F.transform("by", lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"))).alias("ws"), "total", rare.alias("rare")), "weighted-items")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _best(found: DataFrame, *by: str) -> DataFrame:
+    best = found.groupBy(*by, "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"))).alias("x"))
+    return best.select(*by, "item_id", (-F.col("x.s")).alias("start"), (-F.col("x.h")).alias("hamming"), "x.similarity")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The best window of each document and item that leak: doc_id, item_id, start (word), hamming, similarity."""
+    return _best(leak_rows(docs, benchmark, threshold), "doc_id")
+
+
+def leak_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The same for each doc_id and text: doc_id, text_hash (of the text), item_id, start, hamming, similarity."""
     it = items(benchmark, threshold=threshold)
     keys = it.select("item_id", "m", "rare", F.posexplode("hs").alias("q", "h")).withColumn("rare", F.array_contains("rare", F.col("h")))
     keys = written(keys, "item-shingles")
     known = _sized(written(keys.select("h").distinct(), "known-shingles"))
-    d = id_text(docs).select("doc_id", _shingles(_words(F.col("text"))).alias("hs"))
+    texts = id_text(docs).withColumn("text_hash", text_hash(F.col("text")))
+    d = texts.select("doc_id", "text_hash", _shingles(_words(F.col("text"))).alias("hs"))
     # short items are one shingle of fewer words; a window of that many words has to be cut for them
     short = sorted(r.m for r in it.where(F.col("m") < SHINGLE).select("m").distinct().collect())  # 4 at most
     if short:
         cut = let(_words(F.col("text")), lambda w: F.concat(*[_cut(w, m) for m in short]))
-        tiny = id_text(docs).select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
-        tiny = tiny.join(it.where(F.col("m") < SHINGLE).select("item_id", "m", F.col("hs")[0].alias("h")), ["h", "m"]).groupBy("doc_id", "item_id").agg(F.min("pos").cast("long").alias("start"))
-        tiny = tiny.select("doc_id", "item_id", "start", F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity"))
-    # documents with any item shingle, found without carrying their texts along
-    some = written(d.select("doc_id", F.explode("hs").alias("h")).join(known, "h", "left_semi").select("doc_id").distinct(), "touched")
-    near = written(d.join(_sized(some), "doc_id", "left_semi"), "touched-docs")
-    place = near.select("doc_id", F.posexplode("hs").alias("pos", "h")).join(_sized(keys), "h")
-    starts = place.select("doc_id", "m", (F.col("pos") - F.col("q")).alias("start")).where(f"m >= {SHINGLE}").distinct()
+        tiny = texts.select("doc_id", "text_hash", F.explode(cut).alias("x")).select("doc_id", "text_hash", "x.*")
+        tiny = tiny.join(it.where(F.col("m") < SHINGLE).select("item_id", "m", F.col("hs")[0].alias("h")), ["h", "m"]).groupBy("doc_id", "text_hash", "item_id").agg(F.min("pos").cast("long").alias("start"))
+        tiny = tiny.select("doc_id", "text_hash", "item_id", "start", F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity"))
+    # texts with any item shingle, found without carrying them along; from there on each row has a number of its own
+    some = written(d.select("text_hash", F.explode("hs").alias("h")).join(known, "h", "left_semi").select("text_hash").distinct(), "touched")
+    near = written(d.join(_sized(some), "text_hash", "left_semi").withColumn("row", F.monotonically_increasing_id()), "touched-docs")
+    place = near.select("row", F.posexplode("hs").alias("pos", "h")).join(_sized(keys), "h")
+    starts = place.select("row", "m", (F.col("pos") - F.col("q")).alias("start")).where(f"m >= {SHINGLE}").distinct()
     # the part of the window that is in the document
     lo, hi = F.greatest(F.col("start"), F.lit(0)), F.col("start") + F.col("m") - SHINGLE + 1
     part = F.slice("hs", lo + 1, F.greatest(F.least(hi, F.size("hs")) - lo, F.lit(1)))
-    windows = starts.join(near, "doc_id").select("doc_id", "m", "start", part.alias("win"))
+    windows = starts.join(near, "row").select("row", "doc_id", "text_hash", "m", "start", part.alias("win"))
     windows = written(windows.withColumn("fp", _simhash(F.col("win"))), "windows")
     # documents and items that have a rare shingle in common; their windows are laid by all that they have in common
-    met = written(place.where(F.col("rare") & (F.col("m") >= SHINGLE)).select("doc_id", "item_id").distinct(), "rare-pairs")
-    laid = place.join(_sized(met), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "m", (F.col("pos") - F.col("q")).alias("start")).distinct()
+    met = written(place.where(F.col("rare") & (F.col("m") >= SHINGLE)).select("row", "item_id").distinct(), "rare-pairs")
+    laid = place.join(_sized(met), ["row", "item_id"], "left_semi").select("row", "item_id", "m", (F.col("pos") - F.col("q")).alias("start")).distinct()
     block = lambda fp, k: F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255)).cast("int")
     index = it.select("item_id", "m", F.col("fp").alias("item_fp"), "ws", "total", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("at")) for k in range(BLOCKS)])).alias("b"))
     index = index.select("item_id", "m", "item_fp", "b.block", F.explode(F.array(*[F.col("b.at").bitwiseXOR(F.lit(x)) for x in _MASKS])).alias("value"))
-    cut = windows.withColumn("b", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)]))).select("doc_id", "m", "start", "fp", "win", "b.*")
+    cut = windows.withColumn("b", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)]))).select("doc_id", "text_hash", "m", "start", "fp", "win", "b.*")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     found = cut.join(_sized(written(index, "simhash-index")), ["m", "block", "value"]).withColumn("hamming", apart).where(F.col("hamming") <= RADIUS)
     # a pair that agrees in several blocks counts in the first of them
     agree = lambda k: F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), 8 * k).bitwiseAND(F.lit(255))) <= NEAR
     first = F.coalesce(*[F.when(agree(k), F.lit(k)) for k in range(BLOCKS)])
-    pairs = found.where(F.col("block") == first).select("doc_id", "item_id", "start", "hamming", "win")
+    pairs = found.where(F.col("block") == first).select("doc_id", "text_hash", "item_id", "start", "hamming", "win")
     prints = _sized(written(it.select("item_id", F.col("fp").alias("item_fp")), "item-prints"))
-    far = laid.join(windows, ["doc_id", "m", "start"]).join(prints, "item_id").withColumn("hamming", apart).where(F.col("hamming") > RADIUS)
+    far = laid.join(windows, ["row", "m", "start"]).join(prints, "item_id").withColumn("hamming", apart).where(F.col("hamming") > RADIUS)
     pairs = pairs.union(far.select(*pairs.columns)).join(_sized(written(it.select("item_id", "ws", "total"), "item-weights")), "item_id")
     got = F.aggregate("ws", F.lit(0).cast("long"), lambda a, x: a + F.when(F.array_contains("win", x["h"]), x["w"]).otherwise(F.lit(0).cast("long")))
-    sure = pairs.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), "hamming", (got / F.col("total")).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"))).alias("x"))
-    out = best.select("doc_id", "item_id", (-F.col("x.s")).alias("start"), (-F.col("x.h")).alias("hamming"), "x.similarity")
+    sure = pairs.select("doc_id", "text_hash", "item_id", F.col("start").cast("long").alias("start"), "hamming", (got / F.col("total")).alias("similarity")).where(F.col("similarity") >= threshold)
+    out = _best(sure, "doc_id", "text_hash")
     return out.unionByName(tiny) if short else out
 
 

@@ -305,6 +305,20 @@ def test_leaks_of_items_with_a_shared_preamble(spark, shared, own):
     assert got == {(i, i): sim for i in range(n)} | {(901, i): sim for i in range(10)}
 
 
+def test_leaks_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(2))
+    bench = spark.createDataFrame([(1, a), (2, b), (3, "two words")], "item_id long, text string")
+    rows = [(None, f"x {a} y"), (None, f"x {a} y"), (None, f"{b} z"), (None, "clean"), (None, None), (7, f"u v {a}"), (7, "clean"), (7, "also clean"), (8, "x two words"), (8, "x"), (None, "two words")]
+    got = {(r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.leaks(docs_of(spark, rows), bench).collect()}
+    assert got == {(None, 1, 1, 1.0), (None, 2, 0, 1.0), (7, 1, 2, 1.0), (8, 3, 1, 1.0), (None, 3, 0, 1.0)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontamination_stage(spark, docs_of(spark, rows), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, "clean"), (None, None), (7, "clean"), (7, "also clean"), (8, "x")])
+
+
 def test_licenses(spark):
     t = licenses.TEMPLATES["GPL-3.0-header"]
     w = t.split()
