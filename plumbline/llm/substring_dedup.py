@@ -1,8 +1,9 @@
-"""Substring deduplication over windows of WIDTH words with a log-structured fingerprint index.
+"""Substring deduplication over windows of WIDTH words with sorted fingerprint runs.
 
 Each batch of documents makes sorted immutable runs of its window fingerprints. Runs of all batches are merge-joined
 bucket by bucket; what meets is verified by a second, independent 64-bit hash of the window and resolved to the
-smallest (doc_id, start). FingerprintIndex keeps the runs on disk for later batches and compacts them.
+smallest (doc_id, start). The runs of one call are dropped at
+its end: no index is kept or compacted for later batches.
 
 Words are runs of anything but ASCII white space, unchanged. Null texts have no words; texts under WIDTH words lose
 nothing. Every row gives one row.
