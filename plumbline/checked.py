@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from fractions import Fraction
 
 from . import kernel as k
@@ -10,12 +11,16 @@ from .declarations import INVARIANT, Constraints, NumFormat, fold
 
 
 class Violation(Exception):
-    """A value of the type that breaks a keyword; it carries the value as cast."""
+    """A value of the type that breaks a keyword; it carries the value as cast, a text as trimmed."""
 
     def __init__(self, keyword: str, value, offset: int, length: int):
         super().__init__(keyword)
         self.keyword, self.value, self.offset, self.length = keyword, value, offset, length
 
+    def map(self, f) -> Violation:
+        """The same with f of its value."""
+        return Violation(self.keyword, f(self.value), self.offset, self.length)
+
 
 def _snapped(x: Fraction, step: Fraction, rounding: Rounding) -> Fraction | None:
     q = x / step
@@ -61,7 +66,7 @@ def _deliver(x: Fraction, door: Door, span):
 
 
 def _judge(value, exact: Fraction, door: Door, c: Constraints, offset: int, length: int):
-    """(delivered, adjusted, enum index)."""
+    """(delivered, adjusted, no enum index: numbers have none)."""
 
     def broken(keyword):
         return Violation(keyword, value, offset, length)
@@ -74,24 +79,20 @@ def _judge(value, exact: Fraction, door: Door, c: Constraints, offset: int, leng
         adjusted, exact = snapped != exact, snapped
     if name := _bound(exact, c):
         raise broken(name)
-    index = None
-    if c.enum is not None:
-        index = next((i for i, e in enumerate(c.enum) if Fraction(e) == exact), None)
-        if index is None:
-            raise broken("enum")
+    if c.enum is not None and all(Fraction(e) != exact for e in c.enum):
+        raise broken("enum")
     out = _deliver(exact, door, None) if adjusted else value
     if out is None:
         raise broken("multipleOf")
     if door in (Door.F32, Door.F64) and (name := _bound(Fraction(out), c)):
         raise broken(name)
-    return out, adjusted, index
+    return out, adjusted, None
 
 
 def cast_checked(s: str, door: Door, c: Constraints, fmt: NumFormat = INVARIANT):
+    """At the numeric doors and the text door; the other doors take no keywords."""
     if door == Door.TEXT:
         return _text(s, c)
-    if not door.is_numeric:
-        return _other(s, door), False, None
     if door.is_integer:
         value = k.cast_int(s, door, fmt)
         exact = Fraction(value)
@@ -100,18 +101,14 @@ def cast_checked(s: str, door: Door, c: Constraints, fmt: NumFormat = INVARIANT)
         exact = Fraction(value[0], 10 ** value[1]) * (-1 if value[2] else 1)
     else:
         value = k.cast_float(s, door, fmt)
-        _, negative, whole, fraction, exponent, _ = k._read_real(s, fmt)
-        n, exponent = int((whole + fraction) or "0"), exponent - len(fraction)
-        exact = Fraction(value) if abs(exponent) > 2000 else Fraction(-n if negative else n) * Fraction(10) ** exponent
+        a, b = k.edges(s)
+        negative, whole, fraction, exponent = k.read_real(s[a:b], fmt)
+        # the text's own value, unless it is so long or small that the float is as near as a bound can tell
+        exact = Fraction(value) if abs(exponent) > 2000 else Fraction(Decimal(f"{'-' * negative}{whole or '0'}.{fraction or '0'}e{exponent}"))
     a, b = k.edges(s)
     return _judge(value, exact, door, c, a, b - a)
 
 
-def _other(s: str, door: Door):
-    plain = {Door.BOOL: k.cast_bool, Door.CHAR: k.cast_char, Door.UUID: k.cast_uuid, Door.TIMESTAMP: k.cast_timestamp, Door.DATE: k.cast_date, Door.TIME: k.cast_time, Door.DURATION: k.cast_duration}
-    return plain[door](s)
-
-
 def checked_from_f64(x: float, door: Door, c: Constraints):
     if door.is_integer:
         value = k.int_from_f64(x, door)
@@ -130,7 +127,7 @@ def checked_from_f64(x: float, door: Door, c: Constraints):
 
 
 def _text(s: str, c: Constraints):
-    value = k.cast_text(s)
+    k.cast_text(s)
     a, b = 0, len(s)
     if c.trim:
         a, b = k.edges(s)
@@ -138,13 +135,13 @@ def _text(s: str, c: Constraints):
             raise k.Fault("empty", "blank")
     text = s[a:b]
     if c.min_length is not None and len(text) < c.min_length:
-        raise Violation("minLength", value, a, b - a)
+        raise Violation("minLength", text, a, b - a)
     if c.max_length is not None and len(text) > c.max_length:
-        raise Violation("maxLength", value, a, b - a)
+        raise Violation("maxLength", text, a, b - a)
     if c.enum is None:
         return text, False, None
     same = (lambda e: e == text) if c.case_sensitive else (lambda e, f=fold(text): fold(e) == f)
     index = next((i for i, e in enumerate(c.enum) if same(e)), None)
     if index is None:
-        raise Violation("enum", value, a, b - a)
+        raise Violation("enum", text, a, b - a)
     return c.enum[index], False, index

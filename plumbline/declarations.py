@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import locale
+import re
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
+from functools import lru_cache
 
 from .codes import WHITE_SPACE, DateFlags, Door, Flags, Grouping, Rounding
 
@@ -113,22 +115,15 @@ DETECT = NumFormat(Flags.ALL | Flags.SEPARATOR_DETECT)
 
 @dataclass(frozen=True)
 class DayPeriods:
-    """Words for morning and afternoon beside AM and PM."""
+    """Words for morning and afternoon, as they are written, beside AM and PM; either may be left out."""
 
     am: str = ""
     pm: str = ""
 
     def __post_init__(self):
-        if bool(self.am) != bool(self.pm) or self.am and fold(self.am) == fold(self.pm):
-            raise ValueError("two different words are needed")
         for w in (self.am, self.pm):
-            if w.strip(WHITE_SPACE) != w or any("0" <= c <= "9" for c in w) or len(w.encode()) > 64:
-                raise ValueError("a day period has no digit and no white space at its edges")
-
-    def words(self) -> list[tuple[str, bool]]:
-        """(folded word, afternoon), longest first."""
-        both = [("am", False), ("pm", True)] + ([(fold(self.am), False), (fold(self.pm), True)] if self.am else [])
-        return sorted(dict(both).items(), key=lambda x: -len(x[0]))
+            if w.strip(WHITE_SPACE) != w or any("0" <= c <= "9" for c in w) or len(w.encode()) > 16:
+                raise ValueError("a day period has at most 16 bytes, no digit and no white space at its edges")
 
 
 @dataclass(frozen=True)
@@ -150,7 +145,12 @@ class MonthNames:
                 raise ValueError(f"two entries read alike: {n!r}")
 
     def longest_first(self) -> list[tuple[str, int]]:
-        return sorted(((fold(n), m) for m, n in self.entries), key=lambda x: -len(x[0]))
+        return _longest_first(self.entries)
+
+
+@lru_cache(maxsize=64)
+def _longest_first(entries: tuple[tuple[int, str], ...]) -> list[tuple[str, int]]:
+    return sorted(((fold(n), m) for m, n in entries), key=lambda x: -len(x[0]))
 
 
 @dataclass(frozen=True)
@@ -172,17 +172,27 @@ class DateOptions:
         return self.pivot - (self.pivot - yy) % 100
 
 
+_DECLARED = re.compile(r"([+-]?)(?=\.?[0-9])([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?)([0-9]+))?")
+
+
 def declared_decimal(value) -> Decimal:
-    """An exact declared number of at most 96 bits and scale 28."""
+    """An exact declared number: invariant notation, of at most 96 bits and scale 28 once trailing zeros are dropped."""
     if isinstance(value, bool) or isinstance(value, float):
         raise ValueError("declare numbers as int, str or Decimal")
-    d = Decimal(str(value))
-    if not d.is_finite():
-        raise ValueError("declared numbers are finite")
-    scale = max(0, -d.as_tuple().exponent)
-    if scale > 28 or abs(int(d.scaleb(scale))) >= 1 << 96:
+    m = _DECLARED.fullmatch(str(value))
+    if not m:
+        raise ValueError(f"not a number in invariant notation: {value!r}")
+    sign, whole, fraction, way, exponent = (x or "" for x in m.groups())
+    digits = (whole + fraction).lstrip("0")
+    kept = digits.rstrip("0")
+    if not kept:
+        return Decimal(0)
+    exponent = exponent.lstrip("0")
+    power = int(exponent or "0") if len(exponent) < 10 else 10**9
+    power = (-power if way == "-" else power) - len(fraction) + len(digits) - len(kept)
+    if len(kept) > 29 or power < -28 or len(kept) + power > 29 or int(kept) * 10 ** max(0, power) >= 1 << 96:
         raise ValueError(f"no decimal holds {value}")
-    return d
+    return Decimal((int(sign == "-"), tuple(map(int, kept)), power))
 
 
 @dataclass(frozen=True)
@@ -211,7 +221,7 @@ class Constraints:
             object.__setattr__(self, "enum", tuple(self.enum))
 
     def check(self, door: Door) -> Constraints:
-        """Raise ValueError, naming the first rule broken, if the door can't take these keywords."""
+        """These keywords as the door takes them, numbers exact; ValueError names the first rule broken."""
         step, rounds = self.multiple_of is not None, self.rounding != Rounding.STRICT
         if door.is_numeric:
             wrong = self.trim or self.case_sensitive is not None
@@ -225,10 +235,8 @@ class Constraints:
             raise ValueError("multiple_of_not_positive")
         if rounds and not step:
             raise ValueError("rounding_without_multiple_of")
-        if door.is_numeric and self.enum is not None:
-            object.__setattr__(self, "enum", tuple(declared_decimal(x) for x in self.enum))
         if door.is_integer and step and rounds and self.multiple_of != self.multiple_of.to_integral_value():
             raise ValueError("not_held_by_door")
         if door == Door.TEXT and any(not isinstance(x, str) for x in self.enum or ()):
             raise ValueError("enum_not_utf8")
-        return self
+        return replace(self, enum=tuple(declared_decimal(x) for x in self.enum)) if door.is_numeric and self.enum is not None else self

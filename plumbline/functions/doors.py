@@ -1,14 +1,17 @@
 """Doors as Column functions: each gives a verdict struct per row, null for null.
 
 verdict: struct<value, ok, reason, offset, length, detail, detail_code>; checked doors add adjusted, enum_index and
-keyword. Offsets and lengths are code points for string input and bytes for binary input.
+keyword. Offsets and lengths are code points for string input and bytes for binary input; a byte of a string that is
+no UTF-8 counts as one.
 
-A regular shape that the declaration admits is read by native expressions (lane N); the rest go to the exact kernel in
-Arrow batches (lane K), which sees null for the rows that lane N took.
+A regular shape that the declaration admits is read by native expressions (lane N, in lanes.py), and so are empty texts
+and the faults of decoded numbers; the rest go to the exact kernel in Arrow batches (lane K), which sees null for the
+rows that lane N took and parses each distinct text of a batch once.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import partial
 
 import pyarrow as pa
@@ -18,8 +21,9 @@ from pyspark.sql import types as T
 
 from .. import kernel as k
 from ..checked import Violation, cast_checked as _checked, checked_from_f64 as _checked_f64
-from ..codes import DETAILS, INT_RANGES, WHITE_SPACE, DateOrder, Door, ExcelEpoch, Flags, UnixPrecision
+from ..codes import DETAILS, INT_RANGES, DateOrder, Door, ExcelEpoch, Rounding, UnixPrecision
 from ..declarations import INVARIANT, Constraints, DateOptions, DayPeriods, NumFormat
+from . import lanes
 
 _INSTANT = "struct<seconds:bigint,nanos:int>"
 _DECIMAL = "struct<magnitude:decimal(29,0),scale:tinyint,negative:boolean,text:string>"
@@ -41,18 +45,10 @@ def _fields(*names):
 
 
 def _decimal_value(v):
-    from decimal import Decimal
-
     return {"magnitude": Decimal(v[0]), "scale": v[1], "negative": v[2], "text": k.decimal_text(v)}
 
 
-def _u64_value(v):
-    from decimal import Decimal
-
-    return Decimal(v)
-
-
-_TO_ROW = {Door.CHAR: lambda c: {"value": c, "code_point": ord(c)}, Door.DECIMAL: _decimal_value, Door.U64: _u64_value, Door.DATETIME: _fields("date", "nanos_of_day")} | dict.fromkeys(
+_TO_ROW = {Door.CHAR: lambda c: {"value": c, "code_point": ord(c)}, Door.DECIMAL: _decimal_value, Door.U64: Decimal, Door.DATETIME: _fields("date", "nanos_of_day")} | dict.fromkeys(
     (Door.TIMESTAMP, Door.UNIX, Door.DURATION, Door.EXCEL_SERIAL), _fields("seconds", "nanos")
 )
 
@@ -68,173 +64,119 @@ def _kernel(parse, value_type: str, to_row=_plain_value, checked: bool = False):
 
     schema = T._parse_datatype_string(_schema(value_type, checked))
     arrow = to_arrow_type(schema)
-    names = [f.name for f in schema.fields]
 
     def run(column: pa.Array) -> pa.Array:
+        if column.null_count == len(column):
+            return pa.nulls(len(column), arrow)
         binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
-        rows = []
-        for x in column.to_pylist():
-            if x is None:
-                rows.append(None)
-                continue
-            s = x.decode("utf-8", "surrogateescape") if binary else x
-            value = reason = detail = offset = length = adjusted = index = keyword = None
-            ok = False
-            try:
-                got = parse(s)
-                if checked:
-                    got, adjusted, index = got
-                value, ok = to_row(got), True
-            except k.Fault as e:
-                reason, detail, offset, length = e.reason, e.detail, e.offset, e.length
-            except Violation as e:
-                value, keyword, offset, length = to_row(e.value), e.keyword, e.offset, e.length
-            if binary and offset is not None:
-                inside = s[offset : offset + length]
-                if detail is not None and any("\ud800" <= c <= "\udfff" for c in inside):
-                    detail = "invalid_utf8"
-                size = lambda t: len(t.encode("utf-8", "surrogateescape"))
-                offset, length = size(s[:offset]), size(inside)
-            row = [value, ok, reason, offset, length, detail, DETAILS.get(detail)]
-            rows.append(dict(zip(names, [*row, adjusted, index, keyword] if checked else row)))
-        return pa.array(rows, arrow)
+        distinct = column.dictionary_encode()
+        texts = distinct.dictionary
+        if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type):
+            texts = texts.cast(pa.large_binary())  # a string may hold what is no UTF-8
+        rows = [_row(parse, x.decode("utf-8", "surrogateescape") if isinstance(x, bytes) else x, to_row, binary) for x in texts.to_pylist()]
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)]
+        return pa.StructArray.from_arrays(columns, fields=list(arrow)).take(distinct.indices)
 
     return F.arrow_udf(run, schema)
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def _row(parse, s, to_row, binary: bool):
+    """A verdict's fields, those of a checked door included."""
+    try:
+        got = parse(s)
+        value, adjusted, index = got if isinstance(got, _Judged) else (got, None, None)
+        return to_row(value), True, None, None, None, None, None, adjusted, index, None
+    except k.Fault as e:
+        offset, length, detail = _span(s, e.offset, e.length, e.detail, binary)
+        return None, False, e.reason, offset, length, detail, DETAILS[detail], None, None, None
+    except Violation as e:
+        offset, length, _ = _span(s, e.offset, e.length, None, binary)
+        return to_row(e.value), False, None, offset, length, None, None, None, None, e.keyword
 
 
-def _verdict(col: Column, native, parse, value_type: str, to_row=_plain_value) -> Column:
-    """native: (accepts, value) or None."""
-    lane_k = _kernel(parse, value_type, to_row)
-    if native is None:
-        return lane_k(col)
-    accepts, value = native
-    accepts = F.coalesce(accepts, F.lit(False))
-    none = lambda kind: F.lit(None).cast(kind)
-    ok = F.struct(value.cast(value_type).alias("value"), F.lit(True).alias("ok"), none("string").alias("reason"), none("int").alias("offset"), none("int").alias("length"), none("string").alias("detail"), none("int").alias("detail_code"))
-    rest = lane_k(F.when(~accepts, col))
-    return F.when(col.isNull(), F.lit(None).cast(_schema(value_type))).when(accepts, ok).otherwise(rest)
+def _span(s, offset: int, length: int, detail: str | None, binary: bool):
+    """In bytes for binary input, where a span of what is no UTF-8 says so."""
+    if not binary:
+        return offset, length, detail
+    inside = s[offset : offset + length]
+    if detail is not None and any("\ud800" <= c <= "\udfff" for c in inside):
+        detail = "invalid_utf8"
+    size = lambda t: len(t.encode("utf-8", "surrogateescape"))
+    return size(s[:offset]), size(inside), detail
 
 
-def _trimmed(col: Column) -> Column:
-    return F.btrim(col.cast("string"), F.lit(WHITE_SPACE))
-
-
-# --- lane N ----------------------------------------------------------------------
-
-
-def _native_int(col, door: Door, fmt: NumFormat):
-    low, high, _ = INT_RANGES[door]
-    t = _trimmed(col)
-    shape, bare = "[+-]?[0-9]{1,18}", t
-    if fmt.has(Flags.GROUPING) and fmt.group_sep == "," and not fmt.has(Flags.SEPARATOR_DETECT) and not fmt.grouping:
-        shape, bare = "[+-]?([0-9]{1,18}|[1-9][0-9]{0,2}(,[0-9]{3}){1,5})", F.translate(t, ",", "")
-    n = F.when(t.rlike(f"\\A{shape}\\z"), bare).try_cast("decimal(20,0)")
-    inside = n.between(F.lit(str(low)).cast("decimal(20,0)"), F.lit(str(high)).cast("decimal(20,0)"))
-    return inside, F.when(inside, n)
-
-
-def _native_float(col, door: Door, fmt: NumFormat):
-    if fmt.has(Flags.SEPARATOR_DETECT) or fmt.decimal_sep != "." or fmt.group_sep == "." or door == Door.F32:
-        return None
-    t = _trimmed(col)
-    plain = t.rlike("\\A[+-]?([0-9]{1,200}([.][0-9]{0,200})?|[.][0-9]{1,200})\\z")
-    return plain, F.when(plain, t).try_cast("double") + F.lit(0.0)
+class _Judged(tuple):
+    """(value, adjusted, enum index) of a checked door."""
 
 
-def _native_bool(col):
-    t = F.lower(_trimmed(col))
-    return t.isin(*k.TRUE, *k.FALSE) & t.rlike("\\A[a-z01]+\\z"), t.isin(*k.TRUE)
+def _judged(parse):
+    return lambda s: _Judged(parse(s))
 
 
-def _native_date(t: Column):
-    d = F.when(t.rlike("\\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\\z"), t).try_cast("date")
-    return d.isNotNull(), d
-
-
-def _native_ordered(col, order: DateOrder):
-    t = _trimmed(col)
-    shape = "\\A([0-9]{1,2})([/.-])([0-9]{1,2})\\2([0-9]{4})\\z"
-    if order == DateOrder.YMD:
-        return None
-    month, day = (1, 3) if order == DateOrder.MDY else (3, 1)
-    part = lambda n: F.regexp_extract(t, shape, n)
-    text = F.concat_ws("-", part(4), F.lpad(part(month), 2, "0"), F.lpad(part(day), 2, "0"))
-    d = F.when(t.rlike(shape) & (part(4) != "0000"), text).try_cast("date")
-    return d.isNotNull(), d
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def _native_timestamp(col):
-    t = _trimmed(col)
-    shape = "\\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9][Zz]\\z"
-    whole = F.when(t.rlike(shape), t)
-    day = F.substring(whole, 1, 10).try_cast("date")
-    at = lambda i: F.substring(whole, i, 2).try_cast("long")
-    seconds = F.unix_date(day).cast("long") * 86400 + at(12) * 3600 + at(15) * 60 + at(18)
-    return day.isNotNull(), F.struct(seconds.alias("seconds"), F.lit(0).alias("nanos"))
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
 
-def _native_time(col):
-    t = _trimmed(col)
-    whole = F.when(t.rlike("\\A([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?\\z"), t)
-    at = lambda i: F.coalesce(F.substring(whole, i, 2).try_cast("long"), F.lit(0))
-    return whole.isNotNull(), (at(1) * 3600 + at(4) * 60 + at(7)) * 1_000_000_000
+def _native(value_type: str, checked: bool = False, *, value=None, ok: bool = False, reason=None, offset=None, length=None, detail=None, adjusted=None, keyword=None) -> Column:
+    """A verdict of literals and columns."""
+    code = F.lit(DETAILS[detail]) if detail else _none("int")
+    put = lambda x, kind: _none(kind) if x is None else x.cast(kind) if isinstance(x, Column) else F.lit(x).cast(kind)
+    fields = [(put(value, value_type), "value"), (F.lit(ok), "ok"), (put(reason, "string"), "reason"), (put(offset, "int"), "offset"), (put(length, "int"), "length"), (put(detail, "string"), "detail"), (code, "detail_code")]
+    if checked:
+        fields += [(put(adjusted, "boolean"), "adjusted"), (_none("int"), "enum_index"), (put(keyword, "string"), "keyword")]
+    return F.struct(*[c.alias(n) for c, n in fields])
 
 
-def _native_unix(col, precision: UnixPrecision):
-    t = _trimmed(col)
-    per = UnixPrecision(precision).per_second
-    n = F.when(t.rlike("\\A[+-]?[0-9]{1,18}\\z"), t).try_cast("long")
-    seconds = F.floor(n.cast("decimal(20,0)") / F.lit(per).cast("decimal(20,0)")).cast("long") if per > 1 else n
-    return seconds.between(k.MIN_SECONDS, k.MAX_SECONDS), F.struct(seconds.alias("seconds"), (F.pmod(n, F.lit(per)) * (10**9 // per)).cast("int").alias("nanos"))
+def _verdict(col: Column, value: Column | None, parse, value_type: str, to_row=_plain_value, blank: Column | None = None) -> Column:
+    """value: of lane N, null where the kernel has to look; blank: where the text is known to be empty."""
+    lane_k = _kernel(parse, value_type, to_row)
+    if value is None:
+        return lane_k(col)
+    blank = F.coalesce(blank, F.lit(False))
+    rest = lane_k(F.when(value.isNull() & ~blank, col))
+    empty = _native(value_type, reason="empty", offset=0, length=0, detail="blank")
+    return F.when(col.isNull(), _none(_schema(value_type))).when(value.isNotNull(), _native(value_type, value=value, ok=True)).when(blank, empty).otherwise(rest)
 
 
-def _native_uuid(col):
-    t = F.lower(_trimmed(col))
-    return t.rlike("\\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\z"), t
+# --- text doors --------------------------------------------------------------------
 
 
-# --- text doors --------------------------------------------------------------------
+def _text_door(col: Column, door: Door, fmt: NumFormat, options: DateOptions, order: DateOrder, periods: DayPeriods, precision: UnixPrecision, epoch: ExcelEpoch):
+    """(parse, a function that gives lane N's value or None) of a door."""
+    order, precision, epoch = DateOrder(order), UnixPrecision(precision), ExcelEpoch(epoch)
+    if door.is_integer:
+        return partial(k.cast_int, door=door, fmt=fmt), lambda: lanes.integer(col, door, fmt)
+    text = col.cast("string")
+    return {
+        Door.BOOL: (k.cast_bool, lambda: lanes.boolean(col)),
+        Door.CHAR: (k.cast_char, lambda: lanes.character(col)),
+        Door.F32: (partial(k.cast_float, door=door, fmt=fmt), lambda: lanes.real(col, door, fmt)),
+        Door.F64: (partial(k.cast_float, door=door, fmt=fmt), lambda: lanes.real(col, door, fmt)),
+        Door.DECIMAL: (partial(k.cast_decimal, fmt=fmt), lambda: lanes.decimal(col, fmt)),
+        Door.UUID: (k.cast_uuid, lambda: lanes.uuid(col)),
+        Door.TIMESTAMP: (partial(k.cast_timestamp, options=options), lambda: lanes.timestamp(col, options)),
+        Door.UNIX: (partial(k.cast_unix, precision=precision), lambda: lanes.unix(col, precision)),
+        Door.DATE: (partial(k.cast_date, options=options), lambda: lanes.date(col, options)),
+        Door.TIME: (k.cast_time, lambda: lanes.time(col)),
+        Door.DURATION: (k.cast_duration, lambda: lanes.duration(col)),
+        Door.TEXT: (k.cast_text, lambda: F.when(F.is_valid_utf8(text) & (F.length(col) > 0), text)),
+        Door.DATE_ORDERED: (partial(k.cast_date_ordered, order=order, options=options), lambda: lanes.date_ordered(col, order, options)),
+        Door.DATETIME: (partial(k.cast_datetime, order=order, periods=periods, options=options), lambda: lanes.datetime(col, order, periods, options)),
+        Door.EXCEL_SERIAL: (partial(k.cast_excel_serial, epoch=epoch), lambda: lanes.excel_serial(col, epoch)),
+    }[door]
 
 
 def cast_door(col, door: Door, fmt: NumFormat = INVARIANT, *, options: DateOptions = DateOptions(), order: DateOrder = DateOrder.YMD, periods: DayPeriods = DayPeriods(), precision: UnixPrecision = UnixPrecision.SECONDS, epoch: ExcelEpoch = ExcelEpoch.E1900, native: bool = True) -> Column:
     """Any door by its code. native=False sends every row to the kernel."""
     col, door = _col(col), Door(door)
-    plain = options == DateOptions()
-    if door.is_integer:
-        parse, lane = partial(k.cast_int, door=door, fmt=fmt), lambda: _native_int(col, door, fmt)
-    elif door in (Door.F32, Door.F64):
-        parse, lane = partial(k.cast_float, door=door, fmt=fmt), lambda: _native_float(col, door, fmt)
-    elif door == Door.DECIMAL:
-        parse, lane = partial(k.cast_decimal, fmt=fmt), lambda: None
-    elif door == Door.BOOL:
-        parse, lane = k.cast_bool, lambda: _native_bool(col)
-    elif door == Door.CHAR:
-        parse, lane = k.cast_char, lambda: None
-    elif door == Door.UUID:
-        parse, lane = k.cast_uuid, lambda: _native_uuid(col)
-    elif door == Door.TIMESTAMP:
-        parse, lane = partial(k.cast_timestamp, options=options), lambda: _native_timestamp(col)
-    elif door == Door.UNIX:
-        parse, lane = partial(k.cast_unix, precision=UnixPrecision(precision)), lambda: _native_unix(col, precision)
-    elif door == Door.DATE:
-        parse, lane = partial(k.cast_date, options=options), lambda: _native_date(_trimmed(col))
-    elif door == Door.TIME:
-        parse, lane = k.cast_time, lambda: _native_time(col)
-    elif door == Door.DURATION:
-        parse, lane = k.cast_duration, lambda: None
-    elif door == Door.TEXT:
-        parse, lane = k.cast_text, lambda: (F.is_valid_utf8(col.cast("string")) & (F.length(col) > 0), col.cast("string"))
-    elif door == Door.DATE_ORDERED:
-        parse, lane = partial(k.cast_date_ordered, order=DateOrder(order), options=options), lambda: _native_ordered(col, DateOrder(order)) if plain else None
-    elif door == Door.DATETIME:
-        parse, lane = partial(k.cast_datetime, order=DateOrder(order), periods=periods, options=options), lambda: None
-    else:
-        parse, lane = partial(k.cast_excel_serial, epoch=ExcelEpoch(epoch)), lambda: None
-    return _verdict(col, lane() if native else None, parse, VALUE_TYPES[door], _TO_ROW.get(door, _plain_value))
+    parse, lane = _text_door(col, door, fmt, options, order, periods, precision, epoch)
+    # white space alone is empty but at two doors: one such character is a character, and text is taken as it is
+    blank = F.length(col) == 0 if door in (Door.CHAR, Door.TEXT) else lanes.trimmed(col) == ""
+    return _verdict(col, lane() if native else None, parse, VALUE_TYPES[door], _TO_ROW.get(door, _plain_value), blank)
 
 
 def _named(door: Door, takes_format: bool = False):
@@ -272,14 +214,62 @@ def cast_excel_serial(col, epoch: ExcelEpoch = ExcelEpoch.E1900, **how) -> Colum
 # --- typed doors: doubles in ----------------------------------------------------------
 
 
+def _typed(col, value_type: str, value, faults, parse, to_row=_plain_value) -> Column:
+    """Verdict of a double: the first of faults (where, reason, detail) that holds, lane N's value, or the kernel's."""
+    x = _col(col).cast("double")
+    bad = F.lit(False)
+    out = F.when(x.isNull(), _none(_schema(value_type)))
+    for where, reason, detail in faults(x):
+        out = out.when(where, _native(value_type, reason=reason, offset=0, length=0, detail=detail))
+        bad = bad | where
+    got = value(x)
+    rest = _kernel(parse, value_type, to_row)(F.when(~bad & got.isNull(), x))
+    return out.when(got.isNotNull(), _native(value_type, value=got, ok=True)).otherwise(rest)
+
+
+def _not_finite(x: Column, infinite: str = "malformed"):
+    return [(F.isnan(x), "malformed", "not_finite"), (F.abs(x) == lanes.INFINITE, infinite, "not_finite")]
+
+
+_EXACT = 2.0**53
+
+
 def from_f64(col, door: Door, *, precision: UnixPrecision = UnixPrecision.SECONDS, epoch: ExcelEpoch = ExcelEpoch.E1900) -> Column:
     """A decoded double through a numeric, bool, unix or spreadsheet door; its spans are empty."""
-    door = Door(door)
+    door, kind = Door(door), VALUE_TYPES[Door(door)]
+    # from 2**53 on a whole double has more digits than those that tell it apart; the kernel reads those
+    whole = lambda x: F.when((F.abs(x) < _EXACT) & (x == F.rint(x)), x).cast("bigint")
     if door.is_integer:
-        parse = partial(k.int_from_f64, door=door)
-    else:
-        parse = {Door.F32: k.f32_from_f64, Door.BOOL: k.bool_from_f64, Door.DECIMAL: k.decimal_from_f64, Door.UNIX: partial(k.unix_from_f64, precision=UnixPrecision(precision)), Door.EXCEL_SERIAL: partial(k.excel_serial_from_f64, epoch=ExcelEpoch(epoch))}[door]
-    return _kernel(parse, VALUE_TYPES[door], _TO_ROW.get(door, _plain_value))(_col(col).cast("double"))
+        low, high, _ = INT_RANGES[door]
+
+        def faults(x):
+            small = F.abs(x) < _EXACT
+            return [*_not_finite(x), (x != F.rint(x), "malformed", "not_whole"), (small & (x > float(high)), "out_of_range", "too_large"), (small & (x < float(low)), "out_of_range", "too_small" if low else "negative_not_allowed")]
+
+        return _typed(col, kind, whole, faults, partial(k.int_from_f64, door=door), _TO_ROW.get(door, _plain_value))
+    if door == Door.F32:
+        return _typed(col, kind, lambda x: x.cast("float") + F.lit(0.0).cast("float"), lambda x: [*_not_finite(x, "out_of_range"), (F.abs(x.cast("float")) == lanes.INFINITE, "out_of_range", "too_large")], k.f32_from_f64)
+    if door == Door.BOOL:
+        return _typed(col, kind, lambda x: x == 1.0, lambda x: [*_not_finite(x), (~x.isin(0.0, 1.0), "malformed", "not_recognized")], k.bool_from_f64)
+    if door == Door.DECIMAL:
+        return _typed(col, kind, lambda x: lanes.decimal_value(lanes.few_places(x)), lambda x: _not_finite(x, "out_of_range"), k.decimal_from_f64, _TO_ROW[door])
+    if door == Door.UNIX:
+        per = UnixPrecision(precision).per_second
+        return _typed(col, kind, lambda x: lanes.unix_value(whole(x), per), lambda x: [*_not_finite(x), (x != F.rint(x), "malformed", "not_whole")], partial(k.unix_from_f64, precision=UnixPrecision(precision)), _TO_ROW[door])
+    if door != Door.EXCEL_SERIAL:
+        raise ValueError(f"no typed door {door.name}")
+
+    def serial(x):
+        seconds = lanes.whole_seconds(x)
+        rest = F.pmod(seconds, F.lit(86400).cast("bigint"))
+        day = lanes.serial_days(F.call_function("div", seconds - rest, F.lit(86400).cast("bigint")), epoch)
+        return F.when(day.isNotNull(), F.struct((day * 86400 + rest).alias("seconds"), F.lit(0).alias("nanos")))
+
+    return _typed(col, kind, serial, _serial_faults, partial(k.excel_serial_from_f64, epoch=ExcelEpoch(epoch)), _TO_ROW[door])
+
+
+def _serial_faults(x: Column):
+    return [*_not_finite(x), (x < 0, "malformed", "negative_not_allowed"), (x >= float(k.LAST_SERIAL + 1), "out_of_range", "outside_window")]
 
 
 def decimal_from_f64(col) -> Column:
@@ -291,11 +281,15 @@ def excel_serial(col, epoch: ExcelEpoch = ExcelEpoch.E1900) -> Column:
 
 
 def excel_time(col) -> Column:
-    return _kernel(k.excel_time, "bigint")(_col(col).cast("double"))
+    return _typed(col, "bigint", lambda x: F.pmod(lanes.whole_seconds(x), F.lit(86400).cast("bigint")) * lanes.SECOND, _serial_faults, k.excel_time)
 
 
 def excel_duration(col) -> Column:
-    return _kernel(k.excel_duration, _INSTANT, _fields("seconds", "nanos"))(_col(col).cast("double"))
+    def value(x):
+        seconds = lanes.whole_seconds(x)
+        return F.when(seconds.isNotNull(), F.struct(seconds.alias("seconds"), F.lit(0).alias("nanos")))
+
+    return _typed(col, _INSTANT, value, lambda x: [*_not_finite(x), (F.abs(x * 86400.0) > float(k.MAX_SPAN), "out_of_range", "outside_window")], k.excel_duration, _fields("seconds", "nanos"))
 
 
 def shortest_digits(col) -> Column:
@@ -322,21 +316,98 @@ def utc_civil(instant: Column) -> Column:
 # --- checked doors --------------------------------------------------------------------
 
 
-def cast_checked(col, door: Door, constraints: Constraints, fmt: NumFormat = INVARIANT) -> Column:
-    door = Door(door)
-    parse = partial(_checked, door=door, c=constraints.check(door), fmt=fmt)
-    return _kernel(parse, VALUE_TYPES[door], _TO_ROW.get(door, _plain_value), checked=True)(_col(col))
+_KEYWORDS = (("minimum", "minimum", lambda v, m: v < m), ("exclusive_minimum", "exclusiveMinimum", lambda v, m: v <= m), ("maximum", "maximum", lambda v, m: v > m), ("exclusive_maximum", "exclusiveMaximum", lambda v, m: v >= m))
+#: Declared numbers that lane N compares: so many digits on either side of the point fit beside any value it reads.
+_WIDE, _PLACES = 18, 6
+
+
+def _simple(x: Decimal | None) -> bool:
+    return x is None or abs(x) < 10**_WIDE and x == round(x, _PLACES)
+
+
+def _native_checked(col: Column, text: Column, v: Column, door: Door, c: Constraints, value, blank: Column, lane_k) -> Column | None:
+    """The checked verdict of a decimal v that lane N reads from text; None where the keywords need the kernel."""
+    declared = [getattr(c, name) for name, _, _ in _KEYWORDS] + [c.multiple_of, *(c.enum or ())]
+    if not all(map(_simple, declared)) or c.multiple_of is not None and (c.rounding != Rounding.STRICT or door == Door.DECIMAL):
+        return None
+    kind = VALUE_TYPES[door]
+    number = lambda x: F.lit(x).cast(f"decimal({_WIDE + _PLACES},{_PLACES})")
+    # the span is the whole text, where nothing had to be trimmed
+    taken = v.isNotNull() & (F.length(col) == F.length(text))
+    out = F.when(col.isNull(), _none(_schema(kind, True))).when(blank, _native(kind, True, reason="empty", offset=0, length=0, detail="blank"))
+    broken = []
+    if c.multiple_of is not None:
+        broken.append(("multipleOf", v % number(c.multiple_of) != 0))
+    broken += [(keyword, wrong(v, number(getattr(c, name)))) for name, keyword, wrong in _KEYWORDS if getattr(c, name) is not None]
+    if c.enum is not None:
+        broken.append(("enum", ~v.isin(*[number(x) for x in c.enum])))
+    for keyword, wrong in broken:
+        out = out.when(taken & wrong, _native(kind, True, value=value, offset=0, length=F.length(text), keyword=keyword))
+    return out.when(taken, _native(kind, True, value=value, ok=True, adjusted=False)).otherwise(lane_k(F.when(~(F.coalesce(taken, F.lit(False)) | F.coalesce(blank, F.lit(False))), col)))
+
+
+def cast_checked(col, door: Door, constraints: Constraints, fmt: NumFormat = INVARIANT, *, native: bool = True, **how) -> Column:
+    """A numeric door or the text door with keywords; the other doors, with none, take cast_door's arguments."""
+    col, door = _col(col), Door(door)
+    c, kind, to_row = constraints.check(door), VALUE_TYPES[door], _TO_ROW.get(door, _plain_value)
+    if not door.is_numeric and door != Door.TEXT:
+        plain = dict(options=DateOptions(), order=DateOrder.YMD, periods=DayPeriods(), precision=UnixPrecision.SECONDS, epoch=ExcelEpoch.E1900)
+        if set(how) - set(plain):
+            raise ValueError(f"unknown arguments: {sorted(set(how) - set(plain))}")
+        parse, _ = _text_door(col, door, fmt, **plain | how)
+        return _kernel(lambda s: _Judged((parse(s), False, None)), kind, to_row, True)(col)
+    if how:
+        raise ValueError(f"unknown arguments: {sorted(how)}")
+    lane_k = _kernel(_judged(partial(_checked, door=door, c=c, fmt=fmt)), kind, to_row, True)
+    if native and (door.is_integer or door == Door.DECIMAL):
+        text = lanes.trimmed(col)
+        if door == Door.DECIMAL:
+            plain = lanes.numeral(col, fmt, lanes.FRACTION)
+            v = None if plain is None else plain.try_cast(f"decimal({18 + lanes.FRACTION},{lanes.FRACTION})")
+            value = None if v is None else lanes.decimal_value(v)
+        else:
+            value = lanes.integer(col, door, fmt)
+            v = None if value is None else value.cast(f"decimal({_WIDE + _PLACES},{_PLACES})")
+        out = None if v is None else _native_checked(col, text, v, door, c, value, text == "", lane_k)
+        if out is not None:
+            return out
+    return lane_k(col)
 
 
 def checked_from_f64(col, door: Door, constraints: Constraints) -> Column:
     door = Door(door)
-    return _kernel(partial(_checked_f64, door=door, c=constraints.check(door)), VALUE_TYPES[door], _TO_ROW.get(door, _plain_value), checked=True)(_col(col).cast("double"))
+    if not door.is_numeric:
+        raise ValueError(f"no checked typed door {door.name}")
+    parse = _judged(partial(_checked_f64, door=door, c=constraints.check(door)))
+    return _kernel(parse, VALUE_TYPES[door], _TO_ROW.get(door, _plain_value), True)(_col(col).cast("double"))
 
 
 def cast_text_checked(col, constraints: Constraints) -> Column:
     return cast_checked(col, Door.TEXT, constraints)
 
 
+# --- as Spark's own types ----------------------------------------------------------------
+
+
+def as_timestamp(instant) -> Column:
+    """An instant as TimestampType, cut to microseconds."""
+    v = _col(instant)
+    return F.timestamp_micros(v["seconds"] * 1_000_000 + F.call_function("div", v["nanos"].cast("bigint"), F.lit(1000).cast("bigint")))
+
+
+def as_timestamp_ntz(civil) -> Column:
+    """A civil date and time of day, or a serial's civil instant, as TimestampNTZType, cut to microseconds."""
+    v = _col(civil)
+    return F.to_timestamp_ntz(v["date"].cast("string")) + as_interval(F.struct(F.call_function("div", v["nanos_of_day"], F.lit(lanes.SECOND).cast("bigint")).alias("seconds"), F.pmod(v["nanos_of_day"], F.lit(lanes.SECOND).cast("bigint")).cast("int").alias("nanos")))
+
+
+def as_interval(duration) -> Column:
+    """A duration as DayTimeIntervalType, cut to microseconds towards zero."""
+    v = _col(duration)
+    seconds = v["seconds"].cast("decimal(18,6)") + F.call_function("div", v["nanos"].cast("bigint"), F.lit(1000).cast("bigint")).cast("decimal(18,6)") / 1000000
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+
+
 # --- by type --------------------------------------------------------------------------
 
 _BY_TYPE = {T.BooleanType: Door.BOOL, T.ByteType: Door.I8, T.ShortType: Door.I16, T.IntegerType: Door.I32, T.LongType: Door.I64, T.FloatType: Door.F32, T.DoubleType: Door.F64, T.DateType: Door.DATE, T.TimestampType: Door.TIMESTAMP, T.StringType: Door.TEXT, T.DecimalType: Door.DECIMAL}

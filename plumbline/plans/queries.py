@@ -16,6 +16,7 @@ from ..codes import DateFlags, DateOrder, Door, ExcelEpoch, Flags, Grouping, Rou
 from ..declarations import DETECT, INVARIANT, Constraints, DateOptions, DayPeriods, MonthNames
 from ..functions import doors as d
 from ..operators import verdicts as v
+from . import sites
 
 LINE = ("lineitem", "l_orderkey, l_linenumber", "(l_orderkey + l_linenumber)")
 ORDER = ("orders", "o_orderkey", "o_orderkey")
@@ -234,8 +235,8 @@ OTHERS = {
 
 
 def queries():
-    return {c.name: c.spark for c in CASES} | {n: f for n, (f, _) in OTHERS.items()}
+    return {c.name: c.spark for c in CASES} | {n: f for n, (f, _) in OTHERS.items()} | sites.queries()
 
 
 def oracle_sql():
-    return {c.name: c.sql() for c in CASES} | {n: s for n, (_, s) in OTHERS.items()}
+    return {c.name: c.sql() for c in CASES} | {n: s for n, (_, s) in OTHERS.items()} | sites.oracle_sql()
