@@ -131,42 +131,46 @@ def _native(value_type: str, checked: bool = False, *, value=None, ok: bool = Fa
     return F.struct(*[c.alias(n) for c, n in fields])
 
 
-def _verdict(col: Column, value: Column | None, parse, value_type: str, to_row=_plain_value, blank: Column | None = None) -> Column:
-    """value: of lane N, null where the kernel has to look; blank: where the text is known to be empty."""
+def _verdict(col: Column, lane, parse, value_type: str, to_row=_plain_value, raw: bool = False) -> Column:
+    """lane: from the trimmed text to lane N's value, null where the kernel has to look; or None.
+
+    raw: white space is no blank, only the empty text is.
+    """
     lane_k = _kernel(parse, value_type, to_row)
-    if value is None:
+    if lane is None:
         return lane_k(col)
-    blank = F.coalesce(blank, F.lit(False))
-    rest = lane_k(F.when(value.isNull() & ~blank, col))
     empty = _native(value_type, reason="empty", offset=0, length=0, detail="blank")
-    return F.when(col.isNull(), _none(_schema(value_type))).when(value.isNotNull(), _native(value_type, value=value, ok=True)).when(blank, empty).otherwise(rest)
+    pieces = lambda t: F.struct(lane(t).alias("value"), (F.length(col) == 0 if raw else t == "").alias("blank"))
+    chosen = lambda x: F.when(x["value"].isNotNull(), _native(value_type, value=x["value"], ok=True)).when(x["blank"], empty)
+    native = lanes.let(lanes.let(lanes.trimmed(col), pieces), chosen)
+    return F.coalesce(native, lane_k(F.when(native.isNull(), col)))
 
 
 # --- text doors --------------------------------------------------------------------
 
 
 def _text_door(col: Column, door: Door, fmt: NumFormat, options: DateOptions, order: DateOrder, periods: DayPeriods, precision: UnixPrecision, epoch: ExcelEpoch):
-    """(parse, a function that gives lane N's value or None) of a door."""
+    """(parse, a function from trimmed text to lane N's value, or None) of a door."""
     order, precision, epoch = DateOrder(order), UnixPrecision(precision), ExcelEpoch(epoch)
     if door.is_integer:
-        return partial(k.cast_int, door=door, fmt=fmt), lambda: lanes.integer(col, door, fmt)
+        return partial(k.cast_int, door=door, fmt=fmt), lambda t: lanes.integer(t, door, fmt)
     text = col.cast("string")
     return {
-        Door.BOOL: (k.cast_bool, lambda: lanes.boolean(col)),
-        Door.CHAR: (k.cast_char, lambda: lanes.character(col)),
-        Door.F32: (partial(k.cast_float, door=door, fmt=fmt), lambda: lanes.real(col, door, fmt)),
-        Door.F64: (partial(k.cast_float, door=door, fmt=fmt), lambda: lanes.real(col, door, fmt)),
-        Door.DECIMAL: (partial(k.cast_decimal, fmt=fmt), lambda: lanes.decimal(col, fmt)),
-        Door.UUID: (k.cast_uuid, lambda: lanes.uuid(col)),
-        Door.TIMESTAMP: (partial(k.cast_timestamp, options=options), lambda: lanes.timestamp(col, options)),
-        Door.UNIX: (partial(k.cast_unix, precision=precision), lambda: lanes.unix(col, precision)),
-        Door.DATE: (partial(k.cast_date, options=options), lambda: lanes.date(col, options)),
-        Door.TIME: (k.cast_time, lambda: lanes.time(col)),
-        Door.DURATION: (k.cast_duration, lambda: lanes.duration(col)),
-        Door.TEXT: (k.cast_text, lambda: F.when(F.is_valid_utf8(text) & (F.length(col) > 0), text)),
-        Door.DATE_ORDERED: (partial(k.cast_date_ordered, order=order, options=options), lambda: lanes.date_ordered(col, order, options)),
-        Door.DATETIME: (partial(k.cast_datetime, order=order, periods=periods, options=options), lambda: lanes.datetime(col, order, periods, options)),
-        Door.EXCEL_SERIAL: (partial(k.cast_excel_serial, epoch=epoch), lambda: lanes.excel_serial(col, epoch)),
+        Door.BOOL: (k.cast_bool, lambda t: lanes.boolean(t)),
+        Door.CHAR: (k.cast_char, lambda t: lanes.character(text, t)),
+        Door.F32: (partial(k.cast_float, door=door, fmt=fmt), lambda t: lanes.real(t, door, fmt)),
+        Door.F64: (partial(k.cast_float, door=door, fmt=fmt), lambda t: lanes.real(t, door, fmt)),
+        Door.DECIMAL: (partial(k.cast_decimal, fmt=fmt), lambda t: lanes.decimal(t, fmt)),
+        Door.UUID: (k.cast_uuid, lambda t: lanes.uuid(t)),
+        Door.TIMESTAMP: (partial(k.cast_timestamp, options=options), lambda t: lanes.timestamp(t, options)),
+        Door.UNIX: (partial(k.cast_unix, precision=precision), lambda t: lanes.unix(t, precision)),
+        Door.DATE: (partial(k.cast_date, options=options), lambda t: lanes.date(t, options)),
+        Door.TIME: (k.cast_time, lambda t: lanes.time(t)),
+        Door.DURATION: (k.cast_duration, lambda t: lanes.duration(t)),
+        Door.TEXT: (k.cast_text, lambda t: F.when(F.is_valid_utf8(text) & (F.length(col) > 0), text)),
+        Door.DATE_ORDERED: (partial(k.cast_date_ordered, order=order, options=options), lambda t: lanes.date_ordered(t, order, options)),
+        Door.DATETIME: (partial(k.cast_datetime, order=order, periods=periods, options=options), lambda t: lanes.datetime(t, order, periods, options)),
+        Door.EXCEL_SERIAL: (partial(k.cast_excel_serial, epoch=epoch), lambda t: lanes.excel_serial(t, epoch)),
     }[door]
 
 
@@ -174,9 +178,10 @@ def cast_door(col, door: Door, fmt: NumFormat = INVARIANT, *, options: DateOptio
     """Any door by its code. native=False sends every row to the kernel."""
     col, door = _col(col), Door(door)
     parse, lane = _text_door(col, door, fmt, options, order, periods, precision, epoch)
+    if not native or lane(F.lit("")) is None:
+        lane = None
     # white space alone is empty but at two doors: one such character is a character, and text is taken as it is
-    blank = F.length(col) == 0 if door in (Door.CHAR, Door.TEXT) else lanes.trimmed(col) == ""
-    return _verdict(col, lane() if native else None, parse, VALUE_TYPES[door], _TO_ROW.get(door, _plain_value), blank)
+    return _verdict(col, lane, parse, VALUE_TYPES[door], _TO_ROW.get(door, _plain_value), door in (Door.CHAR, Door.TEXT))
 
 
 def _named(door: Door, takes_format: bool = False):
@@ -217,14 +222,11 @@ def cast_excel_serial(col, epoch: ExcelEpoch = ExcelEpoch.E1900, **how) -> Colum
 def _typed(col, value_type: str, value, faults, parse, to_row=_plain_value) -> Column:
     """Verdict of a double: the first of faults (where, reason, detail) that holds, lane N's value, or the kernel's."""
     x = _col(col).cast("double")
-    bad = F.lit(False)
-    out = F.when(x.isNull(), _none(_schema(value_type)))
+    found = F.when(x.isNull(), _none(_schema(value_type)))
     for where, reason, detail in faults(x):
-        out = out.when(where, _native(value_type, reason=reason, offset=0, length=0, detail=detail))
-        bad = bad | where
-    got = value(x)
-    rest = _kernel(parse, value_type, to_row)(F.when(~bad & got.isNull(), x))
-    return out.when(got.isNotNull(), _native(value_type, value=got, ok=True)).otherwise(rest)
+        found = found.when(where, _native(value_type, reason=reason, offset=0, length=0, detail=detail))
+    found = found.otherwise(lanes.let(value(x), lambda v: F.when(v.isNotNull(), _native(value_type, value=v, ok=True))))
+    return F.coalesce(found, _kernel(parse, value_type, to_row)(F.when(found.isNull(), x)))
 
 
 def _not_finite(x: Column, infinite: str = "malformed"):
@@ -325,25 +327,38 @@ def _simple(x: Decimal | None) -> bool:
     return x is None or abs(x) < 10**_WIDE and x == round(x, _PLACES)
 
 
-def _native_checked(col: Column, text: Column, v: Column, door: Door, c: Constraints, value, blank: Column, lane_k) -> Column | None:
-    """The checked verdict of a decimal v that lane N reads from text; None where the keywords need the kernel."""
+def _native_checked(col: Column, t: Column, door: Door, c: Constraints, fmt: NumFormat):
+    """A struct of a trimmed text and a function from it to the checked verdict, null where lane N doesn't read the text;
+    None where the keywords need the kernel."""
     declared = [getattr(c, name) for name, _, _ in _KEYWORDS] + [c.multiple_of, *(c.enum or ())]
     if not all(map(_simple, declared)) or c.multiple_of is not None and (c.rounding != Rounding.STRICT or door == Door.DECIMAL):
         return None
-    kind = VALUE_TYPES[door]
-    number = lambda x: F.lit(x).cast(f"decimal({_WIDE + _PLACES},{_PLACES})")
-    # the span is the whole text, where nothing had to be trimmed
-    taken = v.isNotNull() & (F.length(col) == F.length(text))
-    out = F.when(col.isNull(), _none(_schema(kind, True))).when(blank, _native(kind, True, reason="empty", offset=0, length=0, detail="blank"))
-    broken = []
-    if c.multiple_of is not None:
-        broken.append(("multipleOf", v % number(c.multiple_of) != 0))
-    broken += [(keyword, wrong(v, number(getattr(c, name)))) for name, keyword, wrong in _KEYWORDS if getattr(c, name) is not None]
-    if c.enum is not None:
-        broken.append(("enum", ~v.isin(*[number(x) for x in c.enum])))
-    for keyword, wrong in broken:
-        out = out.when(taken & wrong, _native(kind, True, value=value, offset=0, length=F.length(text), keyword=keyword))
-    return out.when(taken, _native(kind, True, value=value, ok=True, adjusted=False)).otherwise(lane_k(F.when(~(F.coalesce(taken, F.lit(False)) | F.coalesce(blank, F.lit(False))), col)))
+    kind, wide = VALUE_TYPES[door], f"decimal({_WIDE + _PLACES},{_PLACES})"
+    text = lanes.numeral(t, fmt, _PLACES if door == Door.DECIMAL else 0)
+    if text is None:
+        return None
+    number = lambda x: F.lit(x).cast(wide)
+
+    def judged(x: Column) -> Column:
+        v, t = x["v"], x["t"]
+        value = lanes.decimal_value(v) if door == Door.DECIMAL else v.cast(kind)
+        broken = []
+        if c.multiple_of is not None:
+            broken.append(("multipleOf", v % number(c.multiple_of) != 0))
+        broken += [(keyword, wrong(v, number(getattr(c, name)))) for name, keyword, wrong in _KEYWORDS if getattr(c, name) is not None]
+        if c.enum is not None:
+            broken.append(("enum", ~v.isin(*[number(x) for x in c.enum])))
+        # the span is the whole text, where nothing had to be trimmed
+        out = F.when(v.isNull() | (F.length(col) != F.length(t)), F.when(t == "", _native(kind, True, reason="empty", offset=0, length=0, detail="blank")))
+        for keyword, wrong in broken:
+            out = out.when(wrong, _native(kind, True, value=value, offset=0, length=F.length(t), keyword=keyword))
+        return out.otherwise(_native(kind, True, value=value, ok=True, adjusted=False))
+
+    v = text.try_cast(wide)
+    if door.is_integer:
+        low, high, _ = INT_RANGES[door]
+        v = lanes.let(v, lambda v: F.when(v.between(*[F.lit(Decimal(max(min(x, 10**18 - 1), 1 - 10**18))).cast(wide) for x in (low, high)]), v))
+    return F.struct(v.alias("v"), t.alias("t")), judged
 
 
 def cast_checked(col, door: Door, constraints: Constraints, fmt: NumFormat = INVARIANT, *, native: bool = True, **how) -> Column:
@@ -359,18 +374,10 @@ def cast_checked(col, door: Door, constraints: Constraints, fmt: NumFormat = INV
     if how:
         raise ValueError(f"unknown arguments: {sorted(how)}")
     lane_k = _kernel(_judged(partial(_checked, door=door, c=c, fmt=fmt)), kind, to_row, True)
-    if native and (door.is_integer or door == Door.DECIMAL):
-        text = lanes.trimmed(col)
-        if door == Door.DECIMAL:
-            plain = lanes.numeral(col, fmt, lanes.FRACTION)
-            v = None if plain is None else plain.try_cast(f"decimal({18 + lanes.FRACTION},{lanes.FRACTION})")
-            value = None if v is None else lanes.decimal_value(v)
-        else:
-            value = lanes.integer(col, door, fmt)
-            v = None if value is None else value.cast(f"decimal({_WIDE + _PLACES},{_PLACES})")
-        out = None if v is None else _native_checked(col, text, v, door, c, value, text == "", lane_k)
-        if out is not None:
-            return out
+    if native and (door.is_integer or door == Door.DECIMAL) and _native_checked(col, F.lit(""), door, c, fmt) is not None:
+        judged = _native_checked(col, F.lit(""), door, c, fmt)[1]
+        found = lanes.let(lanes.let(lanes.trimmed(col), lambda t: _native_checked(col, t, door, c, fmt)[0]), judged)
+        return F.coalesce(found, lane_k(F.when(found.isNull(), col)))
     return lane_k(col)
 
 
