@@ -1,6 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
-Nulls and empty texts count no words and fail. Every input row gives one output row; repeated ids stay.
+Nulls and empty texts count no words and fail; null ids stay null. Every input row gives one output row, so repeated
+rows and ids stay, and an empty table gives none. Texts of any length are judged whole. Columns of the input don't
+meet those of the output: only id and text are read, and kept_rows() carries the rest along in one struct.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import WS_CHARS, WS_CLASS, let
 
-SYMBOLS = "#*$%&|<>"
+#: Regular expressions of runs: symbols, ASCII capitals, and ASCII digits and punctuation.
+SYMBOLS, UPPER, MARKS = "[#*$%&|<>]+", "[A-Z]+", "[!-@\\x5b-\\x60{-~]+"
 
-#: Common function words of the languages that the thresholds were set for (fixed values).
+#: Common function words of some languages (fixed values).
 STOP_WORDS = (
     "the of and to in a is that for it was on with as be by at this have from or are an but not "
     "de la le les et des un une en du que qui dans pour par sur au avec plus est ce il elle "
@@ -25,19 +28,28 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Threshold:
-    """Keep a document only if low <= metric <= high; None leaves that side open."""
+    """Keep a document only if low <= metric <= high; None leaves that side open. Waived where `unless` holds."""
 
     metric: str
     low: float | None = None
     high: float | None = None
+    unless: Threshold | None = None
 
+    def holds(self) -> Column:
+        sides = [F.col(self.metric) >= F.lit(self.low)] * (self.low is not None) + [F.col(self.metric) <= F.lit(self.high)] * (self.high is not None)
+        out = F.lit(True)
+        for side in sides:
+            out = out & side
+        return out | self.unless.holds() if self.unless else out
 
-#: The table: metrics are the columns of metrics(). Wide enough for clean prose in any script.
+
+#: The table: metrics are the columns of metrics(). Wide enough for clean prose in any script: a text without known stop
+#: words may be of another language, so their share counts only where much of it is digits and punctuation as well.
 TABLE = (
     Threshold("n_words", low=50),
     Threshold("mean_word_chars", low=2.0, high=14.0),
     Threshold("symbol_ratio", high=0.10),
-    Threshold("stop_words", low=2),
+    Threshold("stop_word_ratio", low=0.02, unless=Threshold("mark_ratio", high=0.20)),
     Threshold("upper_ratio", high=0.60),
     Threshold("bang_ratio", high=0.30),
     Threshold("dup_line_ratio", high=0.50),
@@ -45,31 +57,42 @@ TABLE = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(text: Column, runs: str) -> Column:
+    """Characters of text in these runs."""
+    return (F.length(text) - F.length(F.regexp_replace(text, runs, ""))).cast("long")
+
+
+def names_of(a: Column, b: Column, c: Column) -> Column:
+    """The 64-bit name of a window of three words."""
+    return F.xxhash64(a, b, c)
 
 
-def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows found twice or more: sort the windows' 64-bit names, look at both neighbours."""
-    n = F.size(words) - 2
-    grams = F.when(n > 0, F.transform(
-        F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("g"), i.alias("p")),
-    )).otherwise(F.expr("cast(array() as array<struct<g:bigint,p:int>>)"))
+def repeat_words(words: Column, name=names_of) -> Column:
+    """Words inside 3-word windows found twice or more.
+
+    Where all windows' names differ, the windows do. Elsewhere windows are sorted by name and then by their words, so
+    that equal ones are neighbours, and neighbours are compared by their words.
+    """
+    at = F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0)))
+    window = lambda i: (F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    names = F.when(F.size(words) > 2, F.transform(at, lambda i: name(*window(i))))
+    full = F.transform(at, lambda i: F.struct(name(*window(i)).alias("g"), *[w.alias(n) for w, n in zip(window(i), "abc")], i.alias("p")))
 
     def covered(s: Column) -> Column:
-        same = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.when(i > 0, F.get(s, i - 1)["g"]) == x["g"], F.lit(False)))
-        starts = F.array_sort(F.transform(same, lambda x: x["p"]))
+        same = lambda x, y: (x["g"] == y["g"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        again = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(1))), lambda x, y: F.when(same(x, y), F.array(x["p"], y["p"])))
+        starts = F.sort_array(F.flatten(F.filter(again, lambda x: x.isNotNull())))
         return F.aggregate(
             starts, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
             lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
             lambda a: a["n"],
         )
 
-    return let(F.array_sort(grams), covered)
+    differ = let(names, lambda x: x.isNull() | (F.size(F.array_distinct(x)) == F.size(x)))
+    return F.when(differ, F.lit(0).cast("long")).otherwise(let(F.array_sort(full), covered))
 
 
-def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
+def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[Column, ...] = (), name=names_of) -> DataFrame:
     """One row per document: the base counts and the ratios that TABLE names.
 
     Line equality is exact; a line counts if it has a word. Null text counts as no text.
@@ -78,29 +101,27 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     also = d.columns[2:]
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, WS_CLASS), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: _without(x, WS_CHARS) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
     d = d.select("doc_id", "text", *also, words.alias("_w"), lines.alias("_l"))
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     d = d.select(
         "doc_id", *also,
         F.size("_w").cast("long").alias("n_words"),
-        F.length(_without(text, WS_CHARS)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        _count(text, SYMBOLS).alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        let(F.col("_w"), repeat_words).alias("n_repeat_words"),
-        F.size(F.array_intersect(F.transform("_w", lambda w: F.lower(w)), stops)).cast("long").alias("stop_words"),
-        F.length(F.regexp_replace(text, "[^A-Z]", "")).cast("long").alias("_upper"),
-        F.length(F.regexp_replace(text, "[^A-Za-z]", "")).cast("long").alias("_letters"),
-        (F.length(text) - F.length(_without(text, "!"))).cast("long").alias("_bangs"),
+        let(F.col("_w"), lambda w: repeat_words(w, name)).alias("n_repeat_words"),
+        F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("stop_words"),
+        _count(text, UPPER).alias("_upper"), _count(text, MARKS).alias("_marks"), _count(text, "!+").alias("_bangs"),
     )
 
     def ratio(a: str, b: str) -> Column:
         return F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1)).cast("double")
 
-    return d.select(
+    return d.withColumn("_letters", F.col("word_chars") - F.col("_marks")).select(
         "doc_id", *also, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stop_words",
         ratio("word_chars", "n_words").alias("mean_word_chars"), ratio("n_symbols", "n_words").alias("symbol_ratio"),
+        ratio("stop_words", "n_words").alias("stop_word_ratio"), ratio("_marks", "word_chars").alias("mark_ratio"),
         ratio("_upper", "_letters").alias("upper_ratio"), ratio("_bangs", "n_words").alias("bang_ratio"),
         ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"), ratio("n_repeat_words", "n_words").alias("repeat_word_ratio"),
     )
@@ -110,10 +131,7 @@ def compiled(rules=TABLE) -> Column:
     """The whole table as one boolean Column over the metrics."""
     out = F.lit(True)
     for r in rules:
-        if r.low is not None:
-            out = out & (F.col(r.metric) >= F.lit(r.low))
-        if r.high is not None:
-            out = out & (F.col(r.metric) <= F.lit(r.high))
+        out = out & r.holds()
     return out
 
 
