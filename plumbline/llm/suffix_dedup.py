@@ -1,12 +1,13 @@
-"""Suffix-array deduplication: bytes covered by a WIDTH-byte string that also starts in a smaller doc_id.
+"""Suffix deduplication: bytes covered by a WIDTH-byte string that also starts in a smaller doc_id.
 
-Difference-cover blockwise construction. Positions whose residue modulo PERIOD is in COVER are the sample: whatever two
-positions are compared, some shift below PERIOD takes both into the sample, so two equal WIDTH-byte strings share a
-sample suffix's first WIDTH - PERIOD + 1 bytes at the same place. Round 1 names the sample suffixes by those bytes and
-so ranks them as unique or tied; only suffixes at a tied sample can be tied themselves. Those are put into buckets by
-their first WIDTH bytes' name, and one bucket at a time is sorted and its ties resolved to the smallest doc_id.
+Suffixes are sorted one bucket at a time by their first WIDTH bytes, and equal ones compared byte by byte. A sample of
+the suffixes decides which are sent and to which bucket: of every WIDTH bytes, the STRETCH bytes with the least hash
+(see window_dedup). The sample of a difference cover, whose members' ranks would resolve ties, is not used: two equal
+strings share a member of the cover, but which one depends on where both start, so that each string would have to go
+to the buckets of all its members, six for one here.
 
-Null texts are empty; texts under WIDTH bytes lose nothing. Every row gives one row.
+Null texts are empty; texts under WIDTH bytes lose nothing. Every row gives one row, repeated ones too; an empty table
+gives none. Only id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -20,50 +21,39 @@ from pyspark.sql import DataFrame
 from .common import rolling
 from .window_dedup import covered, out_ids, search
 
-WIDTH = 50
-#: A perfect difference set: every residue but 0 is one difference of two of them (fixed values).
-PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+WIDTH, STRETCH = 50, 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+class _Bytes:
+    """A batch's text as bytes."""
+
+    def __init__(self, batch, q: int):
+        lens = np.diff(batch.bounds)
+        self.hashes = rolling(batch.buf, q)
+        self.rows, self.ends = np.repeat(np.arange(len(lens)), lens), np.repeat(batch.bounds[1:], lens)
+        self.slice = lambda a, b: batch.data[a:b]
+
+
 class Suffixes:
     own = False
-    density = len(COVER) / PERIOD
+    #: Anchors a byte, about.
+    density = 2 / (WIDTH - STRETCH + 2)
 
-    def __init__(self, width: int = WIDTH):
-        if width < PERIOD + 4:
-            raise ValueError(f"width must be at least {PERIOD + 4}")
-        self.width, self.name = width, width - PERIOD + 1
+    def __init__(self, width: int = WIDTH, q: int = STRETCH):
+        if not 0 < q <= width <= q + 63:
+            raise ValueError("a stretch of a window is at most 63 bytes shorter")
+        self.width, self.q = width, q
 
     def prepare(self, batch):
-        return batch
+        return _Bytes(batch, self.q)
 
-    def _sample(self, batch):
-        cover = np.zeros(PERIOD, bool)
-        cover[list(COVER)] = True
-        n = len(batch.buf)
-        lens = np.diff(batch.bounds)
-        local = np.arange(n) - np.repeat(batch.bounds[:-1], lens)
-        left = np.repeat(batch.bounds[1:], lens) - np.arange(n)
-        return np.flatnonzero(cover[local % PERIOD] & (left >= self.name))
-
-    def anchors(self, batch):
-        at = self._sample(batch)
-        return rolling(batch.buf, self.name)[at] if len(at) else np.zeros(0, np.uint64)
-
-    def windows(self, batch, flags):
-        n = len(batch.buf)
-        tied = np.zeros(n + 1, np.int32)
-        tied[self._sample(batch)[flags] + 1] = 1
-        tied = np.cumsum(tied)
-        starts = np.flatnonzero(tied[np.minimum(np.arange(n) + PERIOD, n)] > tied[:-1])
-        rows = np.searchsorted(batch.bounds, starts, side="right") - 1
-        m = starts + self.width <= batch.bounds[rows + 1]
-        starts, rows = starts[m], rows[m]
-        return (rolling(batch.buf, self.width, second=True)[starts] if len(starts) else np.zeros(0, np.uint64)), rows, starts
-
-
-def dedup_bytes(docs: DataFrame, width: int = WIDTH, passes: int = 2, with_text: bool = False, **sizes) -> DataFrame:
+    @staticmethod
+    def units(texts) -> np.ndarray:
+        return np.frombuffer(b"".join(data for _, data in texts), np.uint8)
+
+
+def dedup_bytes(docs: DataFrame, width: int = WIDTH, with_text: bool = False, **sizes) -> DataFrame:
     """OUT per row; with_text adds what is left, as binary."""
 
     def finish(batch, _, starts):
@@ -87,7 +77,7 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, passes: int = 2, with_text:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         return pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * with_text, names=names + ["kept"] * with_text)
 
-    return search(docs, Suffixes(width), finish, OUT + ", kept binary" * with_text, passes=passes, **sizes)
+    return search(docs, Suffixes(width), finish, OUT + ", kept binary" * with_text, **sizes)
 
 
 def op1(spark, sf_dir):

@@ -1,12 +1,14 @@
-"""Distributed search for repeated windows of a corpus, in two rounds over packed, sorted runs of hashes.
+"""Distributed search for repeated windows of a corpus: named by hashes, decided on their bytes or words.
 
-Texts are kept as compressed batches. A round turns each batch into one sorted run of distinct keys per bucket (a range
-of keys); a task takes one bucket after the other, merges the runs of all batches there, and answers each run with one
-bit per key. Memory is bounded by a batch on one side and a bucket on the other; a key that is in a third of all texts
-is one key a batch.
+Texts are kept as compressed batches. Of every window one stretch of units is its anchor: the one with the least hash,
+which depends on the window alone, so equal windows have equal anchors at the same place. An anchor's record is the
+text of all windows that it anchors. Within a batch equal records are one, and windows are resolved there first.
 
-Round 1 finds anchors that occur more than once, by fingerprints just long enough to be rarely wrong; round 2 resolves
-only the windows at such anchors, by another, 64-bit hash, to the smallest id that has them.
+Round 1 finds anchors that occur more than once, by sorted runs of their hashes. Round 2 sends the records of such
+anchors to the bucket of their hash. A task takes one bucket at a time, lays its records side by side along their
+anchors, sorts the windows of each place and compares what the sort brings together unit by unit: a window is repeated
+if the very same one has a smaller id. Memory is bounded by a batch on one side and a bucket on the other; a record
+that is in a third of all texts is one record a batch.
 
 Rows that repeat a doc_id are judged each on its own against smaller ids, a null doc_id being the smallest; null and
 empty texts have no windows.
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, id_text, packed_texts, shuffle_partitions, text_slices, written
+from .common import id_text, mix, shuffle_partitions, text_slices, written
 
 NULL_ID = np.iinfo(np.int64).min
 BATCH = "batch long, ids binary, lens binary, blob binary"
@@ -190,84 +192,287 @@ def _shared(keys: np.ndarray, ids) -> np.ndarray:
     return out
 
 
-def _earlier(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Round 2: keys that a smaller id has in another run."""
-    g = Grouped(keys)
-    least = np.minimum.reduceat(ids[g.order], g.at) if len(keys) else ids
-    return ids > g.spread(least)
+# --- records ---------------------------------------------------------------------
 
 
-def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 20, bucket_keys: int = 1 << 21, passes: int = 1) -> DataFrame:
-    """finish(batch, unit starts of windows repeated from a smaller id or, of kind.own, from before) as RecordBatch.
+class Anchors:
+    """Each window's anchor in a batch: the leftmost of its stretches of q units with the least hash.
 
-    kind.prepare(batch) -> state; kind.anchors(state) -> keys of anchors in position order; kind.windows(state, flags)
-    -> (keys, rows, starts) of the windows at flagged anchors, in position order. passes: so many equal ranges of
-    window keys are resolved one after the other, to bound the disk that a round takes.
+    at: positions of anchors; first, count: the windows that each anchors, which are consecutive starts.
+    """
+
+    def __init__(self, hashes: np.ndarray, ends: np.ndarray, width: int, q: int):
+        """hashes: of the stretch at each position; ends: of the text around each position."""
+        n, r = len(ends), width - q + 1
+        valid = np.flatnonzero(np.arange(n) + width <= ends)
+        if not len(valid):
+            self.at = self.first = self.count = np.zeros(0, np.int64)
+            self.keys = np.zeros(0, np.uint64)
+            return
+        low = _leftmost_least(hashes, r)[valid]
+        new = np.ones(len(valid), bool)
+        # consecutive starts with the same anchor
+        new[1:] = (low[1:] != low[:-1]) | (np.diff(valid) != 1)
+        edge = np.flatnonzero(new)
+        self.at, self.first = low[edge], valid[edge]
+        self.count = np.diff(np.append(edge, len(valid)))
+        self.keys = hashes[self.at]
+
+    def take(self, m: np.ndarray) -> None:
+        self.at, self.first, self.count, self.keys = self.at[m], self.first[m], self.count[m], self.keys[m]
+
+
+def _leftmost_least(hashes: np.ndarray, r: int) -> np.ndarray:
+    """Position of the leftmost least value among hashes[i:i+r], for every i; beyond the end, values are the greatest."""
+    n = len(hashes)
+    value = np.concatenate([hashes, np.full(r, np.iinfo(np.uint64).max)])
+    place = np.arange(n + r)
+    span = 1
+    while span < r:  # of spans of a power of two, two overlapping ones make the last
+        step = min(span, r - span)
+        later = value[step:] < value[: len(value) - step]
+        value = np.where(later, value[step:], value[:-step])
+        place = np.where(later, place[step:], place[:-step])
+        span += step
+    return place[:n]
+
+
+class Records:
+    """Records of one bucket or batch, laid side by side along their anchors.
+
+    units: their windows' units; before: units ahead of the anchor; count: windows, of which the first starts there.
+    """
+
+    def __init__(self, ids: np.ndarray, before: np.ndarray, count: np.ndarray, units: list | np.ndarray, width: int, q: int):
+        self.ids, self.before, self.count, self.width, self.left = ids, before, count, width, width - q
+        lens = count + (width - 1)
+        begin = np.zeros(len(lens), np.int64)
+        np.cumsum(lens[:-1], out=begin[1:])
+        row = np.repeat(np.arange(len(lens)), lens)
+        column = np.arange(int(lens.sum())) - np.repeat(begin + before - self.left, lens)
+        self.table = np.zeros((len(lens), 2 * width - q), units.dtype)
+        self.table[row, column] = units
+
+    def repeated(self, own: tuple[np.ndarray, np.ndarray] | None = None, old: np.ndarray | None = None) -> np.ndarray:
+        """Per record the windows that a smaller id has, as bits by their place ahead of the anchor.
+
+        own: (text, start of the first window) of each record; an earlier window of the same text counts too.
+        old: records that come before all others.
+        """
+        ids, out = self.ids, np.zeros(len(self.ids), np.uint64)
+        for place in range(self.left + 1):
+            # windows that have the anchor at this place
+            rows = np.flatnonzero((place <= self.before) & (place > self.before - self.count))
+            if len(rows) < 2:
+                continue
+            cells = _cells(self.table[rows, self.left - place : self.left - place + self.width])
+            rest = (ids[rows],) if own is None else (own[1][rows] + self.before[rows] - place, own[0][rows], ids[rows])
+            hit = _later(cells, rest, None if old is None else old[rows])
+            out[rows[hit]] |= np.uint64(1 << place)
+        return out
+
+
+def _cells(windows: np.ndarray) -> np.ndarray:
+    """The windows' bytes as rows of 64-bit cells."""
+    data = np.ascontiguousarray(windows).view(np.uint8).reshape(len(windows), -1)
+    wide = np.zeros((len(data), -(-data.shape[1] // 8) * 8), np.uint8)
+    wide[:, : data.shape[1]] = data
+    return wide.view(np.uint64)
+
+
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def hashed(cells: np.ndarray) -> np.ndarray:
+    return mix((cells * _FACTORS[: cells.shape[1]]).sum(axis=1, dtype=np.uint64))
+
+
+def _later(cells: np.ndarray, order: tuple, old: np.ndarray | None, name=hashed) -> np.ndarray:
+    """Rows that come after an equal row: with a smaller id, the last of order, or the same text and a smaller start.
+
+    Rows are sorted by a hash of their cells; where neighbours of one hash differ, by the cells themselves.
+    """
+    ids = order[-1]
+    key = name(cells)
+    by = np.lexsort((*order, key))
+    same = _neighbours(cells, key, by)
+    if same is None:
+        by = np.lexsort((*order, *cells.T))
+        same = (cells[by[1:]] == cells[by[:-1]]).all(axis=1)
+    start = np.ones(len(by), bool)
+    start[1:] = ~same
+    group = np.cumsum(start) - 1
+    lead = by[start][group]  # the first of each group of equal rows has its least id
+    out = np.zeros(len(by), bool)
+    out[by] = ids[by] > ids[lead]
+    if len(order) > 1:
+        texts = order[1][by]
+        out[by[1:]] |= same & (texts[1:] == texts[:-1])
+    if old is not None:
+        out[by] |= (np.bincount(group, weights=old[by]) > 0)[group]
+        out &= ~old
+    return out
+
+
+def _neighbours(cells: np.ndarray, key: np.ndarray, by: np.ndarray) -> np.ndarray | None:
+    """Whether sorted neighbours are equal; None if some have the same hash and are not."""
+    alike = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+    if len(alike) and not (cells[by[alike + 1]] == cells[by[alike]]).all():
+        return None
+    same = np.zeros(max(0, len(by) - 1), bool)
+    same[alike] = True
+    return same
+
+
+def _alike(records: Records, keys: np.ndarray) -> np.ndarray:
+    """For each record the first one, by id, that is the same in all."""
+    shape = (records.before << 32 | records.count).astype(np.uint64)
+    cells = np.concatenate([_cells(records.table), shape[:, None], keys[:, None]], axis=1)
+    by = np.lexsort((records.ids, hashed(cells)))
+    same = _neighbours(cells, hashed(cells), by)
+    if same is None:
+        by = np.lexsort((records.ids, *cells.T))
+        same = (cells[by[1:]] == cells[by[:-1]]).all(axis=1)
+    start = np.ones(len(by), bool)
+    start[1:] = ~same
+    lead = np.empty(len(by), np.int64)
+    lead[by] = by[start][np.cumsum(start) - 1]
+    return lead
+
+
+def _packed(ids: np.ndarray, before: np.ndarray, count: np.ndarray, texts: list[bytes]) -> bytes:
+    lens = np.array([len(x) for x in texts], "<u4")
+    return np.array([len(ids)], "<u4").tobytes() + _zip(b"".join([_planes(ids.astype("<i8")), before.astype("u1").tobytes(), count.astype("u1").tobytes(), _planes(lens), b"".join(texts)]))
+
+
+def _sent(batch: int, rows: np.ndarray, keys: np.ndarray, records: Records, texts: list, buckets: int):
+    """Records `rows`, sorted by key, as a run for each bucket."""
+    cut = np.append(np.searchsorted(keys, edges(buckets)), len(keys))
+    out = []
+    for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        if b > a:
+            r = rows[a:b]
+            out.append((k, batch, _packed(records.ids[r], records.before[r], records.count[r], [texts[i] for i in r.tolist()])))
+    names = ["bucket", "batch", "run"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=names)
+
+
+def _received(run: bytes):
+    """(ids, before, count, length of each text, texts end to end) of a run."""
+    n = int(np.frombuffer(run, "<u4", 1)[0])
+    data = _unzip(run[4:])
+    ids = _unplanes(data[: 8 * n], np.int64)
+    before, count = (np.frombuffer(data, np.uint8, n, 8 * n + k * n).astype(np.int64) for k in (0, 1))
+    return ids, before, count, _unplanes(data[10 * n : 14 * n], np.uint32).astype(np.int64), data[14 * n :]
+
+
+def _judged(kind, held, now: int):
+    """Answers of one bucket: for each batch its records' bits, in the order they came."""
+    got = [_received(run) for _, run in held]
+    ids, before, count = (np.concatenate([g[i] for g in got]) for i in range(3))
+    records = Records(ids, before, count, kind.units([(g[3], g[4]) for g in got]), kind.width, kind.q)
+    sizes = [len(g[0]) for g in got]
+    old = np.repeat([batch < 0 for batch, _ in held], sizes)
+    bits = records.repeated(old=old if old.any() else None)
+    out = [(batch, _zip(x.astype("<u8").tobytes())) for (batch, _), x in zip(held, np.split(bits, np.cumsum(sizes)[:-1])) if batch >= 0]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([now] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["batch", "bucket", "bits"])
+
+
+def _bucketed(runs: DataFrame, parts: int, judge, schema: str, name: str) -> DataFrame:
+    """judge([(batch, run)], bucket) as a RecordBatch, one bucket at a time."""
+
+    def run(it):
+        now, held = None, []
+        for b in it:
+            for r in range(b.num_rows):
+                bucket = b.column(0)[r].as_py()
+                if bucket != now and held:
+                    yield judge(held, now)
+                    held = []
+                now = bucket
+                held.append((b.column(1)[r].as_py(), b.column(2)[r].as_py()))
+        if held:
+            yield judge(held, now)
+
+    return written(runs.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, schema), name)
+
+
+def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 20, bucket_keys: int = 1 << 21, bucket_records: int = 1 << 17, history: DataFrame | None = None, buckets: int | None = None, keep=None) -> DataFrame:
+    """finish(batch, state, unit starts of windows repeated from a smaller id or, of kind.own, from before).
+
+    kind.prepare(batch) -> state with .hashes (of stretches of kind.q units), .ends (of the text around each unit) and
+    .slice(a, b) of a record's text; kind.units(texts) -> their units as numbers that are equal if they are.
+    history: runs (bucket, batch < 0, run) of records that come before all of docs, for so many buckets; records are
+    then sent whether or not docs have them twice, and keep() gets the table of their runs.
     """
     spark = docs.sparkSession
     texts = batches(docs, batch_bytes)
     total = texts.select(F.sum(F.length("blob"))).first()[0] or 0
     n_anchors = max(1, total * 4 * kind.density)  # compressed text, so an estimate; it only sets sizes
     parts = shuffle_partitions(spark)
-    buckets = max(math.ceil(n_anchors / bucket_keys), 4 * parts)
-    shift = np.uint64(max(0, 64 - math.ceil(math.log2(n_anchors)) - 12))
-
-    def anchor_keys(state):
-        return kind.anchors(state) >> shift << shift
-
-    def ask(it):
-        for n, batch in each(it):
-            yield _runs(n, Grouped(anchor_keys(kind.prepare(batch))).keys, buckets)
+    first_buckets = max(math.ceil(n_anchors / bucket_keys), 4 * parts)
+    n_buckets = buckets or max(math.ceil(n_anchors / bucket_records), 4 * parts)
 
-    answers = _answered(texts.mapInArrow(ask, RUN), parts, _shared, "shared-anchors")
+    every = history is not None  # the functions below are sent to executors, a DataFrame can't be
 
-    def flag(it):
+    def local(n: int, batch, got):
+        """The batch's state, anchors to be asked about, their windows resolved within the batch, and who stands for whom."""
+        state = kind.prepare(batch)
+        anchors = Anchors(state.hashes, state.ends, kind.width, kind.q)
+        if not every and len(anchors.keys):
+            g = Grouped(anchors.keys)
+            anchors.take(g.spread(_bits(got, g.keys, first_buckets) | (g.sizes > 1)))
+        if not len(anchors.keys):
+            return state, anchors, None, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        row = state.rows[anchors.at]
+        pieces = [state.slice(a, b) for a, b in zip(anchors.first.tolist(), (anchors.first + anchors.count + (kind.width - 1)).tolist())]
+        lens = np.array([len(x) for x in pieces], np.int64)
+        records = Records(batch.ids[row], anchors.at - anchors.first, anchors.count, kind.units([(lens, b"".join(pieces))]), kind.width, kind.q)
+        return state, anchors, records, records.repeated((row, anchors.first) if kind.own else None), _alike(records, anchors.keys), pieces
+
+    def standing(anchors, lead):
+        """The records that are sent, by key."""
+        rows = np.flatnonzero(lead == np.arange(len(lead)))
+        return rows[np.argsort(anchors.keys[rows], kind="stable")]
+
+    if not every:
+
+        def ask(it):
+            for n, batch in each(it):
+                state = kind.prepare(batch)
+                yield _runs(n, Grouped(Anchors(state.hashes, state.ends, kind.width, kind.q).keys).keys, first_buckets)
+
+        answers = _answered(texts.mapInArrow(ask, RUN), parts, _shared, "shared-anchors")
+        asked = _with_answers(texts, answers)
+    else:
+        asked = texts.withColumn("answers", F.lit(None).cast("array<struct<bucket:int,bits:binary>>"))
+
+    def send(it):
         for n, batch, got in each(it):
-            g = Grouped(anchor_keys(kind.prepare(batch)))
-            flags = g.spread((_bits(got, g.keys, buckets) if len(g.keys) else np.zeros(0, bool)) | (g.sizes > 1)) if len(g.keys) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([batch.ids.tobytes()]), pa.array([batch.lens.tobytes()]), pa.array([_zip(batch.data)]), pa.array([_zip(np.packbits(flags))]), pa.array([len(flags)])], names=["batch", "ids", "lens", "blob", "flags", "n"])
-
-    flagged = written(_with_answers(texts, answers).mapInArrow(flag, BATCH + ", flags binary, n long"), "flagged")
-    dropped(texts, answers)
+            _, anchors, records, _, lead, pieces = local(n, batch, got)
+            if records is not None:
+                rows = standing(anchors, lead)
+                yield _sent(n, rows, anchors.keys[rows], records, pieces, n_buckets)
 
-    def windows(batch, flags, n):
-        state = kind.prepare(batch)
-        return state, *kind.windows(state, np.unpackbits(np.frombuffer(_unzip(flags), np.uint8), count=n).astype(bool))
-
-    cut = edges(buckets)
-    found = []
-    for p in range(passes):
-        lo, hi = int(cut[buckets * p // passes]), (int(cut[buckets * (p + 1) // passes]) if p + 1 < passes else 1 << 64) - 1
-
-        def resolve(it, lo=np.uint64(lo), hi=np.uint64(hi)):
-            for number, batch, flags, n in each(it):
-                _, keys, rows, _ = windows(batch, flags, n)
-                m = (keys >= lo) & (keys <= hi)
-                keys, rows = keys[m], rows[m]
-                g = Grouped(keys)
-                yield _runs(number, g.keys, buckets, batch.ids[rows[g.first]])
-
-        found.append(_answered(flagged.mapInArrow(resolve, RUN), parts, _earlier, "owners"))
-    answers = found[0]
-    for more in found[1:]:
-        answers = answers.unionByName(more)
+    runs = asked.mapInArrow(send, RUN)
+    if every:
+        runs = keep(runs).unionByName(history)
+    judged = _bucketed(runs, parts, lambda held, now: _judged(kind, held, now), "batch long, bucket int, bits binary", "repeated")
+    mine = judged.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("found"))
 
     def apply(it):
-        for _, batch, flags, n, got in each(it):
-            state, keys, rows, starts = windows(batch, flags, n)
-            if len(keys):
-                g = Grouped(keys)
-                ids = batch.ids[rows]
-                dup = g.spread(_bits(got, g.keys, buckets)) | (ids > g.spread(ids[g.first]))
-                if kind.own:  # a row's own earlier window counts too
-                    again = np.zeros(len(keys), bool)
-                    o = g.order
-                    again[o[1:]] = (keys[o[1:]] == keys[o[:-1]]) & (rows[o[1:]] == rows[o[:-1]])
-                    dup |= again
-                starts = starts[dup]
-            yield finish(batch, state, starts)
-
-    return _with_answers(flagged, answers).mapInArrow(apply, schema)
+        for n, batch, got, found in each(it):
+            state, anchors, records, bits, lead, _ = local(n, batch, got)
+            starts = np.zeros(0, np.int64)
+            if records is not None:
+                rows = standing(anchors, lead)
+                more = np.zeros(len(lead), np.uint64)
+                more[rows] = np.concatenate([np.frombuffer(_unzip(x["bits"]), "<u8") for x in found])
+                bits = bits | more[lead]
+                starts = np.concatenate([anchors.at[hit] - place for place in range(kind.width - kind.q + 1) if len(hit := np.flatnonzero(bits >> np.uint64(place) & np.uint64(1)))] or [starts])
+            yield finish(batch, state, np.sort(starts))
+
+    return asked.join(mine, "batch", "left").mapInArrow(apply, schema)
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:

@@ -59,16 +59,12 @@ def test_suffix_dedup(spark, corpus):
                 m[i : i + 50] = b"\1" * 50
         runs = sum(m[i] and (i == 0 or not m[i - 1]) for i in range(len(b)))
         want[d] = (len(b), sum(m), runs, hashlib.sha256(bytes(c for c, x in zip(b, m) if not x)).hexdigest())
-    for sizes in ({}, {"batch_bytes": 2000, "bucket_keys": 500, "passes": 3}):
+    for sizes in ({}, {"batch_bytes": 2000, "bucket_keys": 500}):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_bytes(docs_of(spark, corpus), **sizes).collect()}
         assert got == want
     assert sum(v[1] for v in want.values()) > 5000
 
 
-def test_difference_cover():
-    seen = {(b - a) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER}
-    assert seen == set(range(suffix_dedup.PERIOD))
-
 
 def test_substring_dedup(spark, corpus):
     seen, want = set(), {}
@@ -85,6 +81,33 @@ def test_substring_dedup(spark, corpus):
         assert got == want
 
 
+def test_fingerprint_index(spark, corpus, tmp_path):
+    rows = sorted(corpus, key=lambda r: r[0])
+    say = lambda df: {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
+    want = say(substring_dedup.dedup_words(docs_of(spark, rows)))
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=7, fanout=2)
+    got = {}
+    for k in range(0, len(rows), 25):  # the last ones after a compaction
+        got |= say(index.add(docs_of(spark, rows[k : k + 25])))
+    assert got == want and any(n.endswith("-all") for n in index.runs()) and len(index.runs()) < 5
+    assert all(v[1] == v[0] for v in say(index.add(docs_of(spark, [(9000 + i, t) for i, t in rows]))).values() if v[0] >= 20)
+    assert index.add(docs_of(spark, [])).collect() == []
+
+
+def test_windows_are_told_apart_by_their_units():
+    from plumbline.llm import window_dedup
+
+    rng = np.random.default_rng(3)
+    cells = rng.integers(0, 2, (300, 3)).astype(np.uint64)
+    ids = rng.integers(0, 40, 300)
+    least = {}
+    for c, i in zip(map(tuple, cells.tolist()), ids.tolist()):
+        least[c] = min(least.get(c, 99), i)
+    want = [i > least[c] for c, i in zip(map(tuple, cells.tolist()), ids.tolist())]
+    for name in (window_dedup.hashed, lambda c: c[:, 0] & np.uint64(1), lambda c: np.zeros(len(c), np.uint64)):  # names that deceive
+        assert window_dedup._later(cells, (ids,), None, name).tolist() == want
+
+
 def test_repeated_ids_and_empty_tables(spark):
     t = prose(random.Random(1), 60)
     twice = docs_of(spark, [(5, t), (5, t), (None, t)])
@@ -119,6 +142,30 @@ def test_jaccard(spark, corpus):
     assert len({c for _, c in got.values()}) < len(corpus) - 20
 
 
+def test_jaccard_where_names_deceive(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.sample(words, 40) for _ in range(6)]
+    rows = [(10 * i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(10 * i + 1, " ".join(f"{x}x" if k % 4 == 0 else x for k, x in enumerate(w))) for i, w in enumerate(base)]  # named alike, but other words
+    rows += [(10 * i + 2, " ".join(w[:-1] + ["z"])) for i, w in enumerate(base)]
+    rows += [(100, "a b c"), (101, "a b cx"), (102, "A b  c"), (103, "a b c d e f"), (104, "a b c d ex f")]
+
+    def alike(hashes):  # names of w and wx are one
+        return plain[np.searchsorted(known, hashes)]
+
+    from plumbline.llm.common import packed_texts, words_of
+
+    vocabulary = sorted({x for _, t in rows for x in t.lower().split()})
+    name = lambda x: int(words_of(*packed_texts([x.encode()]))[2][0])
+    pairs = sorted((name(x), name(x[:-1] if x.endswith("x") else x)) for x in vocabulary)
+    known, plain = np.array([a for a, _ in pairs], np.uint64), np.array([b for _, b in pairs], np.uint64)
+    clash = lambda words, salt: (bytes(8) if salt == 0 else b"") + jaccard_join.named(words, salt)  # noqa: E731  all alike at first
+    for how in ({"words": alike}, {"name": clash}, {"words": alike, "name": clash}):
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs_of(spark, rows), **how).collect()}
+        assert got == {10 * i + k: 10 * i + (k == 1) for i in range(6) for k in range(3)} | {100: 100, 101: 101, 102: 100, 103: 103, 104: 104}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_uses_all_and_fits(seed):
     rng = np.random.default_rng(seed)
