@@ -184,23 +184,27 @@ class Automaton:
             self._lists = self.next.tolist(), self.label.tolist()
         return self._lists
 
+    def classes(self, data: bytes) -> bytes:
+        return data.translate(self.byte_class)
+
     def hits(self, data: bytes) -> int:
         """The rules, as bits, of which some match ends in data: one pass, all rules together."""
         nxt, label = self.tables()
         s, accepting, width, out = self.start, self.first_accepting, self.width, 0
-        for c in data.translate(self.byte_class):
+        for c in self.classes(data):
             s = nxt[s + c]
             if s >= accepting:
                 out |= label[s // width]
         return out
 
-    def first_end(self, data: bytes, lo: int) -> int:
+    def first_end(self, classes: bytes, lo: int) -> int:
+        """Where the first match that starts at lo or after ends, in translated data; -1 if there is none."""
         nxt, _ = self.tables()
         s, accepting = self.start, self.first_accepting
-        for k, c in enumerate(data[lo:].translate(self.byte_class), lo + 1):
-            s = nxt[s + c]
+        for k in range(lo, len(classes)):
+            s = nxt[s + classes[k]]
             if s >= accepting:
-                return k
+                return k + 1
         return -1
 
     def longest(self, data: bytes, lo: int) -> int:
@@ -216,6 +220,18 @@ class Automaton:
                 best = k + 1
         return best
 
+    def furthest_start(self, data: bytes, lo: int, end: int) -> int:
+        """Of an automaton of reversed patterns: the leftmost start, from lo on, of a match that ends at end."""
+        nxt, _ = self.tables()
+        s, best, cls = self.start, end, self.byte_class
+        for k in range(end - 1, lo - 1, -1):
+            s = nxt[s + cls[data[k]]]
+            if s == self.dead:
+                break
+            if s >= self.first_accepting:
+                best = k
+        return best
+
 
 def sum_or(values, start: int = 0) -> int:
     for v in values:

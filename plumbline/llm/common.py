@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
@@ -89,6 +91,7 @@ def let(value: Column, body) -> Column:
 
 # --- vectorised hashing -------------------------------------------------------
 
+# Well-known mixing constants (fixed values).
 P64 = np.uint64(0x9E3779B97F4A7C15)
 #: The inverse of P64 modulo 2**64.
 I64 = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -47,6 +47,8 @@ SHARE, LEAST = 3, 4
 #: Cells of the sketch, whatever the corpus: 4 MB where it is read.
 CELLS, CELL_ROWS = 1 << 22, 64
 GROUP = 512
+#: Shingles of a group, about, where its entries are long.
+HEAVY = 1 << 20
 QUERIES = 4096
 
 
@@ -290,7 +292,8 @@ def _links(entries: DataFrame, how: Reading, percent: int) -> DataFrame:
     # groups of one: the most central entry at each shingle
     meet = tokens.where((F.col("k") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy("p", "k").agg(F.count(F.lit(1)).alias("c"))
     ask = written(meet.where(F.col("c") >= SHARE).select("p", "k"), "first-queries")
-    shares = ask.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares"))
+    # a table of its own, so that the join below may split a shingle's queries where they are many
+    shares = written(ask.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares")), "shares")
     members = shares.select(F.col("p"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("p").alias("k"))
     queries = ask.hint("merge").join(shares, "p").select("p", F.pmod(F.xxhash64("k"), F.col("shares")).cast("int").alias("share"), "k")
     named = lambda d: d.select(F.xxhash64("p", "share").alias("g"), "k", F.col("k").alias("root"))
@@ -305,7 +308,8 @@ def _links(entries: DataFrame, how: Reading, percent: int) -> DataFrame:
     sizes = alike.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     large = F.col("c") >= GROUP
     alike = alike.join(sizes, "root").select("k", "n", "c", F.struct(large.alias("large"), F.when(large, F.col("root")).otherwise(F.col("lead.token")).alias("x")).alias("by"))
-    slots = alike.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("slots"))
+    # by entries and, where these are long, by shingles
+    slots = alike.groupBy("by").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / HEAVY)).alias("slots"))
     band = F.floor(F.log(1.25, F.col("n")))
     held = written(alike.join(slots, "by").select("k", "c", F.xxhash64("by", band, F.pmod(F.xxhash64("k"), F.col("slots"))).alias("g")), "groups")
     grouped = written(mixed.hint("merge").join(held, "k").select("token", "k", "n", "root", "c", "g"), "grouped")

@@ -6,8 +6,11 @@ always found. Hits near one diagonal are a candidate; a banded alignment of temp
 words and gives the span. Reported are alignments that cover `coverage` of the template's words; a partial mention,
 which covers less, takes nothing from a notice beside it.
 
-Null and empty texts have no licenses; a document has a row for each place found, in order, none overlapping another
-of the same license; rows that repeat are scanned each. Offsets are code points, ends exclusive.
+Null and empty texts have no licenses, and a null id stays null; a document has a row for each place found, in order.
+Of places that overlap, the one with the most matched words stays, of those the one that covers more of its template,
+then the first, then the first license by name: so a notice isn't taken for a shorter sibling's. Rows that repeat are
+scanned each, an empty table gives no rows, a text of any length is scanned whole. Other columns are not read, whatever
+their names. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, packed_texts, rolling, text_slices, words_of
 
-GRAM, WINDOW, BAND = 3, 2, 6
+GRAM, WINDOW = 3, 2
+#: Words by which an alignment may drift from its diagonal: at least so many, and this part of the template.
+BAND, DRIFT = 6, 3
 COVERAGE = 0.8
 
 #: Notices by SPDX name (fixed values).
@@ -37,6 +42,15 @@ TEMPLATES = {
     "MIT": "Released under the MIT License",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
@@ -81,7 +95,7 @@ def places(a: list, words: list, shifts: set[int], coverage: float) -> list[tupl
 
     Where alignments overlap, the one with the most matched words stays and another is aligned anew beside it.
     """
-    need, ends, taken = Counter(a), [], []
+    need, ends, taken, band = Counter(a), [], [], max(BAND, len(a) // DRIFT)
     queue: list[tuple] = []
 
     def put(shift: int, lo: int, hi: int) -> None:
@@ -89,12 +103,12 @@ def places(a: list, words: list, shifts: set[int], coverage: float) -> list[tupl
         # no alignment matches more words than the two have in common
         if sum(min(n, need[w]) for w, n in Counter(part).items() if w in need) < coverage * len(a):
             return
-        n, i, j = align(a, part, shift - lo, BAND)
+        n, i, j = align(a, part, shift - lo, band)
         if n and n / len(a) >= coverage:
             heapq.heappush(queue, (-n, j - i, lo + i, lo + j, shift, lo, hi))
 
     for shift in shifts:
-        put(shift, max(0, shift - BAND), min(len(words), shift + len(a) + BAND))
+        put(shift, max(0, shift - band), min(len(words), shift + len(a) + band))
     while queue:
         n, _, i, j, shift, lo, hi = heapq.heappop(queue)
         # the first place that ends after this one begins
@@ -150,7 +164,16 @@ class Index:
                 a = self.words[t]
                 for n, i, j in places(a, words, {shift for _, shift in found}, coverage):
                     out[k].append((t, n, n / len(a), int(starts[lo + i] - bounds[k]), int(ends[lo + j - 1] - bounds[k])))
-        return out
+        return [_foremost(found) for found in out]
+
+
+def _foremost(found: list) -> list:
+    """The places that no overlapping place of another template surpasses in matched words, nor equals with more cover."""
+    kept: list = []
+    for x in sorted(found, key=lambda f: (-f[1], -f[2], f[3], f[0])):
+        if all(x[3] >= y[4] or y[3] >= x[4] for y in kept):
+            kept.append(x)
+    return kept
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

@@ -4,7 +4,9 @@ All rule regexes are compiled, by subset construction and minimisation, into one
 a text's bytes tells which rules occur in it. Only in texts where a rule occurs are its spans resolved, by the same
 construction for that rule alone: first end forward, leftmost start backward, longest end forward.
 
-Null and empty texts have no spans. Every input row gives one output row. Offsets are code points, ends exclusive.
+Null and empty texts have no spans; null ids stay null. Every input row gives one output row, repeated ones too, and an
+empty table none. Where rules match at one start, spans are in the rules' order. Offsets are code points, ends exclusive.
+A text's cost grows with its length. scan() reads id and text alone; redact() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .automaton import Automaton, compiled
-from .common import id_text
+from .common import bounded, id_text
 
 
 @dataclass(frozen=True)
@@ -80,9 +83,6 @@ class Scanner:
         self.run = [compiled([(r.pattern + r.tail, r.fold)], search=False) for r in self.rules]
         self.head = [compiled([(r.head, r.fold)], search=False) if r.head else None for r in self.rules]
 
-    def _start(self, k: int, data: bytes, lo: int, end: int) -> int:
-        return end - self.back[k].longest(data[lo:end][::-1], 0)
-
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start byte, rule, end byte) of every match kept, sorted."""
         hits = self.all.hits(data)
@@ -90,9 +90,9 @@ class Scanner:
         for k, rule in enumerate(self.rules):
             if not hits >> k & 1:
                 continue
-            lo = 0
-            while (end := self.search[k].first_end(data, lo)) >= 0:
-                start = self._start(k, data, lo, end)
+            lo, classes = 0, self.search[k].classes(data)
+            while (end := self.search[k].first_end(classes, lo)) >= 0:
+                start = self.back[k].furthest_start(data, lo, end)
                 end = self.run[k].longest(data, start)
                 body = self.head[k].longest(data, start) if self.head[k] else start
                 if end - body >= rule.min_chars:
@@ -108,8 +108,11 @@ class Scanner:
         found = self.spans(data)
         if not found or len(data) == len(text):
             return found
-        at = lambda b: len(data[:b].decode())  # noqa: E731  matches are ASCII, so cuts are between characters
-        return [(at(a), k, at(b)) for a, k, b in found]
+        cuts, chars, done = {}, 0, 0
+        for b in sorted({x for a, _, b in found for x in (a, b)}):  # matches start and end at ASCII, between characters
+            chars += len(data[done:b].decode())
+            cuts[b], done = chars, b
+        return [(cuts[a], k, cuts[b]) for a, k, b in found]
 
 
 def _scanned(scanner: Scanner, n_base: int):
@@ -142,12 +145,15 @@ def scan(docs: DataFrame, rules=RULES, n_base: int = len(BASE), id_col: str = "d
 def redact(docs: DataFrame, rules=RULES, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """The same columns with each secret replaced by [kind]; overlapping spans merge under the first one's kind.
 
-    Documents without secrets come through unchanged, null text stays null; count_col, if present, is kept true.
+    Documents without secrets come through unchanged, null text stays null. count_col, if there is such a column and it
+    has a type of whole numbers, is kept true for the texts changed; any other column of that name is left as it is.
     """
+    bounded(docs.sparkSession)
     scanner = Scanner(rules)
     kinds = [r.kind for r in scanner.rules]
     at = docs.columns.index(text_col)
-    chars = docs.columns.index(count_col) if count_col in docs.columns else None
+    whole = [f.name for f in docs.schema.fields if isinstance(f.dataType, IntegralType)]
+    chars = docs.columns.index(count_col) if count_col in whole else None
 
     def run(batches):
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, id_text, shuffle_partitions
+from .common import dropped, fresh_path, id_text, shuffle_partitions, written
 from .tokens import default_path, encoder
 
 MAGIC = b"PLS8B001"
@@ -178,19 +178,23 @@ def _ordered(d: DataFrame) -> DataFrame:
 
 
 def write_files(docs: DataFrame, where: str, path: str | None = None, end_id: int = 2, ids_per_file: int = 1 << 21) -> list:
-    """Write the ids of all documents to files in `where`; (file, ids) of each, in order: one small row a file."""
+    """Write the ids of all documents to files in `where`; (task, ids) of each task that wrote, in order.
+
+    A file's name has its task, its number there and the ids of that task before it; so the order of all files, and
+    where each starts, follow from the totals of the tasks, of which there are as many as shuffle partitions.
+    """
     spark, path = docs.sparkSession, path or default_path()
 
     def run(batches):
         enc, end, task, made = encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
-        docs_, counts, parts, size = [], [], [], 0
+        docs_, counts, parts, size, base = [], [], [], 0, 0
 
         def put():
-            nonlocal made, size
-            name = f"{task:08d}-{made:06d}.s8b"
+            nonlocal made, size, base
+            name = f"{task:08d}-{made:06d}-{base:015d}.s8b"
             _put(where, name, file_bytes(docs_, counts, np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)))
-            out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], names=["file", "n"])
-            made, size = made + 1, 0
+            out = pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([size], pa.int64())], names=["task", "n"])
+            made, size, base = made + 1, 0, base + size
             for x in (docs_, counts, parts):
                 x.clear()
             return out
@@ -207,32 +211,30 @@ def write_files(docs: DataFrame, where: str, path: str | None = None, end_id: in
         if docs_:
             yield put()
 
-    ordered = _ordered(id_text(docs))
-    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    try:
-        return sorted((r.file, r.n) for r in ordered.mapInArrow(run, "file string, n long").collect())
-    finally:
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", before)
+    made = written(_ordered(id_text(docs)).mapInArrow(run, "task long, n long"), "token-counts")
+    totals = sorted((r.task, r.n) for r in made.groupBy("task").agg(F.sum("n").alias("n")).collect())
+    dropped(made)
+    return totals
 
 
-def read_files(spark, where: str, files: list) -> DataFrame:
-    """One row per document: doc_id, start, n_tokens, ids (the ids as little-endian uint32)."""
+def read_files(spark, where: str, totals: list) -> DataFrame:
+    """One row per document: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian uint32)."""
     base, starts = 0, {}
-    for name, n in files:
-        starts[name] = base
+    for task, n in totals:
+        starts[task] = base
         base += n
-    if not files:
+    if not totals:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs, counts, ids = parse(data.as_py())
+                task, _, before = os.path.basename(name).removesuffix(".s8b").split("-")
                 ends = np.cumsum(counts)
                 raw = ids.astype("<u4").tobytes()
                 crcs = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends - counts + starts[os.path.basename(name)]), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends - counts + starts[int(task)] + int(before)), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(where).select("path", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
