@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark leaks, secrets, packing. Part of subpackage llm."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark leaks, secrets, packing. Part of subpackage llm.
+
+Each stage takes an empty table to an empty one, and texts of any length whole; all but the last return the columns
+they got, whatever those are named.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard_join, packing, quality, secrets
-from plumbline.llm.common import fresh_path, table, written
+from plumbline.llm.common import dropped, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, rows that repeat an id or have none each by its text; null and empty texts go."""
     return quality.kept_rows(docs)
 
 
@@ -38,12 +42,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kinds."""
+    """All documents, whatever their ids, secrets replaced by their kinds; null and empty texts stay as they are."""
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in sequences."""
+    """Pieces and their places in sequences; a null text is an empty one, a null id stays null, a repeated one is packed again."""
     return packing.pack(docs)
 
 
@@ -62,7 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out, path = stage(spark, docs, sf_dir), fresh_path(spark, name)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        out = written(stage(spark, docs, sf_dir), name)
+        dropped(docs)
+        docs = out
     return docs

@@ -80,6 +80,13 @@ def dropped(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes on disk of a table that written() made."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._plumbline_path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,9 @@ Exact similarity then decides; hamming is what the fingerprints differ by, and m
 
 Null and empty texts, on either side, leak nothing; an item of fewer than five words is one shingle. Rows are
 judged by their texts; leaks() has a row for each id and item, with the best window of all rows of that id, and a null
-id is an id like others. leak_rows() tells the texts of one id apart.
+id is an id like others. leak_rows() tells the texts of one id apart. Of a document's windows on an item the most
+similar one is reported, of those the one fewest bits apart, then the first; a window that begins before its document
+starts at 0. Texts are read whole; an empty table on either side gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, let, written
+from .common import dropped, id_text, let, table_bytes, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCKS, NEAR = 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
-#: Rows up to which a side is broadcast; about 16 bytes a row. Beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes on disk up to which a table is broadcast; most are hashes, which don't compress. Beyond, it is shuffled.
+BROADCAST_BYTES = 8 << 20
 _MASKS = [0] + [1 << a for a in range(8)] + [1 << a | 1 << b for a in range(8) for b in range(a)]
 
 
@@ -71,8 +73,8 @@ def _simhash_of(hashes: Column) -> Column:
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    """df, a written table, to be broadcast only if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, a written table, to be broadcast only if it has few bytes."""
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
 def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -115,7 +117,7 @@ def leak_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     keys = written(keys, "item-shingles")
     known = _sized(written(keys.select("h").distinct(), "known-shingles"))
     texts = id_text(docs).withColumn("text_hash", text_hash(F.col("text")))
-    d = texts.select("doc_id", "text_hash", _shingles(_words(F.col("text"))).alias("hs"))
+    of_text = _shingles(_words(F.col("text")))
     # short items are one shingle of fewer words; a window of that many words has to be cut for them
     short = sorted(r.m for r in it.where(F.col("m") < SHINGLE).select("m").distinct().collect())  # 4 at most
     if short:
@@ -124,8 +126,9 @@ def leak_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
         tiny = tiny.join(it.where(F.col("m") < SHINGLE).select("item_id", "m", F.col("hs")[0].alias("h")), ["h", "m"]).groupBy("doc_id", "text_hash", "item_id").agg(F.min("pos").cast("long").alias("start"))
         tiny = tiny.select("doc_id", "text_hash", "item_id", "start", F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity"))
     # texts with any item shingle, found without carrying them along; from there on each row has a number of its own
-    some = written(d.select("text_hash", F.explode("hs").alias("h")).join(known, "h", "left_semi").select("text_hash").distinct(), "touched")
-    near = written(d.join(_sized(some), "text_hash", "left_semi").withColumn("row", F.monotonically_increasing_id()), "touched-docs")
+    some = written(texts.select("text_hash", F.explode(of_text).alias("h")).join(known, "h", "left_semi").select("text_hash").distinct(), "touched")
+    near = texts.join(_sized(some), "text_hash", "left_semi").select("doc_id", "text_hash", of_text.alias("hs"), F.monotonically_increasing_id().alias("row"))
+    near = written(near, "touched-docs")
     place = near.select("row", F.posexplode("hs").alias("pos", "h")).join(_sized(keys), "h")
     starts = place.select("row", "m", (F.col("pos") - F.col("q")).alias("start")).where(f"m >= {SHINGLE}").distinct()
     # the part of the window that is in the document
@@ -137,21 +140,23 @@ def leak_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     met = written(place.where(F.col("rare") & (F.col("m") >= SHINGLE)).select("row", "item_id").distinct(), "rare-pairs")
     laid = place.join(_sized(met), ["row", "item_id"], "left_semi").select("row", "item_id", "m", (F.col("pos") - F.col("q")).alias("start")).distinct()
     block = lambda fp, k: F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255)).cast("int")
-    index = it.select("item_id", "m", F.col("fp").alias("item_fp"), "ws", "total", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("at")) for k in range(BLOCKS)])).alias("b"))
+    index = it.select("item_id", "m", F.col("fp").alias("item_fp"), F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("at")) for k in range(BLOCKS)])).alias("b"))
     index = index.select("item_id", "m", "item_fp", "b.block", F.explode(F.array(*[F.col("b.at").bitwiseXOR(F.lit(x)) for x in _MASKS])).alias("value"))
-    cut = windows.withColumn("b", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)]))).select("doc_id", "text_hash", "m", "start", "fp", "win", "b.*")
+    place_of = ["row", "m", "start"]
+    cut = windows.select(*place_of, "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)])).alias("b")).select(*place_of, "fp", "b.*")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     found = cut.join(_sized(written(index, "simhash-index")), ["m", "block", "value"]).withColumn("hamming", apart).where(F.col("hamming") <= RADIUS)
     # a pair that agrees in several blocks counts in the first of them
     agree = lambda k: F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), 8 * k).bitwiseAND(F.lit(255))) <= NEAR
     first = F.coalesce(*[F.when(agree(k), F.lit(k)) for k in range(BLOCKS)])
-    pairs = found.where(F.col("block") == first).select("doc_id", "text_hash", "item_id", "start", "hamming", "win")
+    pairs = found.where(F.col("block") == first).select(*place_of, "item_id", "hamming")
     prints = _sized(written(it.select("item_id", F.col("fp").alias("item_fp")), "item-prints"))
-    far = laid.join(windows, ["row", "m", "start"]).join(prints, "item_id").withColumn("hamming", apart).where(F.col("hamming") > RADIUS)
-    pairs = pairs.union(far.select(*pairs.columns)).join(_sized(written(it.select("item_id", "ws", "total"), "item-weights")), "item_id")
+    far = laid.join(windows.select(*place_of, "fp"), place_of).join(prints, "item_id").withColumn("hamming", apart).where(F.col("hamming") > RADIUS)
+    pairs = pairs.union(far.select(*pairs.columns)).join(windows.drop("fp"), place_of).join(_sized(written(it.select("item_id", "ws", "total"), "item-weights")), "item_id")
     got = F.aggregate("ws", F.lit(0).cast("long"), lambda a, x: a + F.when(F.array_contains("win", x["h"]), x["w"]).otherwise(F.lit(0).cast("long")))
-    sure = pairs.select("doc_id", "text_hash", "item_id", F.col("start").cast("long").alias("start"), "hamming", (got / F.col("total")).alias("similarity")).where(F.col("similarity") >= threshold)
-    out = _best(sure, "doc_id", "text_hash")
+    sure = pairs.select("doc_id", "text_hash", "item_id", F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), "hamming", (got / F.col("total")).alias("similarity")).where(F.col("similarity") >= threshold)
+    out = written(_best(sure, "doc_id", "text_hash"), "leaks")
+    dropped(near, windows, met)
     return out.unionByName(tiny) if short else out
 
 
