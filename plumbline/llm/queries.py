@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, licenses, packing, quality, secrets, substring_dedup, suffix_dedup, token_files
+from . import chat, decontaminate, jaccard_join, licenses, oracles, packing, quality, secrets, substring_dedup, suffix_dedup, token_files
 
 
 def queries():
@@ -26,7 +26,7 @@ def queries():
 def oracle_sql():
     import corpus_pipeline
 
-    out = {"op5_chat_formatting": chat.ORACLE}
+    out = {"op5_chat_formatting": chat.ORACLE} | oracles.oracle_sql()
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
