@@ -216,25 +216,37 @@ class Anchors:
         edge = np.flatnonzero(new)
         self.at, self.first = low[edge], valid[edge]
         self.count = np.diff(np.append(edge, len(valid)))
-        self.keys = hashes[self.at]
+        self.keys = mix(hashes[self.at])  # the least ones are all small; keys are spread again
 
     def take(self, m: np.ndarray) -> None:
         self.at, self.first, self.count, self.keys = self.at[m], self.first[m], self.count[m], self.keys[m]
 
 
+#: Positions whose least hashes are looked for at a time; they fit into the low 16 bits.
+PIECE = 1 << 15
+
+
 def _leftmost_least(hashes: np.ndarray, r: int) -> np.ndarray:
-    """Position of the leftmost least value among hashes[i:i+r], for every i; beyond the end, values are the greatest."""
-    n = len(hashes)
-    value = np.concatenate([hashes, np.full(r, np.iinfo(np.uint64).max)])
-    place = np.arange(n + r)
-    span = 1
-    while span < r:  # of spans of a power of two, two overlapping ones make the last
-        step = min(span, r - span)
-        later = value[step:] < value[: len(value) - step]
-        value = np.where(later, value[step:], value[:-step])
-        place = np.where(later, place[step:], place[:-step])
-        span += step
-    return place[:n]
+    """Position of the leftmost least value among hashes[i:i+r], for every i; beyond the end, values are the greatest.
+
+    Compared are the upper 48 bits with the position below them, so of equal values the leftmost is the least; what is
+    least depends on the stretches alone either way.
+    """
+    n, out = len(hashes), np.empty(len(hashes), np.int64)
+    low = np.uint64(0xFFFF)
+    place = np.arange(PIECE + r, dtype=np.uint64)
+    for lo in range(0, n, PIECE):
+        value = np.full(min(PIECE, n - lo) + r, ~low)
+        value[: n - lo] = hashes[lo : lo + len(value)] & ~low
+        value |= place[: len(value)]
+        span = 1
+        while span < r:  # of spans of a power of two, two overlapping ones make the last
+            step = min(span, r - span)
+            value = np.minimum(value[step:], value[:-step])
+            span += step
+        end = min(n, lo + PIECE)
+        out[lo:end] = (value[: end - lo] & low).astype(np.int64) + lo
+    return out
 
 
 class Records:
@@ -248,10 +260,10 @@ class Records:
         lens = count + (width - 1)
         begin = np.zeros(len(lens), np.int64)
         np.cumsum(lens[:-1], out=begin[1:])
-        row = np.repeat(np.arange(len(lens)), lens)
-        column = np.arange(int(lens.sum())) - np.repeat(begin + before - self.left, lens)
-        self.table = np.zeros((len(lens), 2 * width - q), units.dtype)
-        self.table[row, column] = units
+        across = 2 * width - q
+        self.table = np.zeros((len(lens), across), units.dtype)
+        at = np.arange(len(lens)) * across + self.left - before - begin
+        self.table.ravel()[np.arange(len(units)) + np.repeat(at, lens)] = units
 
     def repeated(self, own: tuple[np.ndarray, np.ndarray] | None = None, old: np.ndarray | None = None) -> np.ndarray:
         """Per record the windows that a smaller id has, as bits by their place ahead of the anchor.
@@ -292,25 +304,34 @@ def _later(cells: np.ndarray, order: tuple, old: np.ndarray | None, name=hashed)
 
     Rows are sorted by a hash of their cells; where neighbours of one hash differ, by the cells themselves.
     """
-    ids = order[-1]
+    out = np.zeros(len(cells), bool)
     key = name(cells)
-    by = np.lexsort((*order, key))
-    same = _neighbours(cells, key, by)
-    if same is None:
-        by = np.lexsort((*order, *cells.T))
-        same = (cells[by[1:]] == cells[by[:-1]]).all(axis=1)
-    start = np.ones(len(by), bool)
-    start[1:] = ~same
-    group = np.cumsum(start) - 1
-    lead = by[start][group]  # the first of each group of equal rows has its least id
-    out = np.zeros(len(by), bool)
-    out[by] = ids[by] > ids[lead]
+    by = np.argsort(key)
+    twice = key[by[1:]] == key[by[:-1]]
+    if not twice.any():
+        return out
+    some = np.zeros(len(by), bool)  # rows whose hash another has
+    some[1:] |= twice
+    some[:-1] |= twice
+    rows = by[some]
+    cells, key, order = cells[rows], key[rows], tuple(x[rows] for x in order)
+    if len(order) > 1:
+        by = np.lexsort((*order[:-1], key))  # by text and start
+        rows, cells, key, order = rows[by], cells[by], key[by], tuple(x[by] for x in order)
+    same = (cells[1:] == cells[:-1]).all(axis=1)
+    if (~same & (key[1:] == key[:-1])).any():
+        by = np.lexsort((*order[:-1], *cells.T))
+        rows, cells, order = rows[by], cells[by], tuple(x[by] for x in order)
+        same = (cells[1:] == cells[:-1]).all(axis=1)
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    sizes, ids = np.diff(np.append(start, len(rows))), order[-1]
+    hit = ids > np.repeat(np.minimum.reduceat(ids, start), sizes)
     if len(order) > 1:
-        texts = order[1][by]
-        out[by[1:]] |= same & (texts[1:] == texts[:-1])
+        hit[1:] |= same & (order[1][1:] == order[1][:-1])
     if old is not None:
-        out[by] |= (np.bincount(group, weights=old[by]) > 0)[group]
-        out &= ~old
+        old = old[rows]
+        hit = (hit | np.repeat(np.maximum.reduceat(old, start), sizes)) & ~old
+    out[rows] = hit
     return out
 
 
