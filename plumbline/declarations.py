@@ -96,13 +96,21 @@ class NumFormat:
 
     @staticmethod
     def from_localeconv(conv: dict | None = None, flags: Flags = Flags.ALL) -> NumFormat:
-        """The numeric part of localeconv(); called on the driver, the result travels."""
+        """The numeric and the monetary part of localeconv(); called on the driver, the result travels.
+
+        Monetary separators are declared where they differ from the numeric ones.
+        """
         c = locale.localeconv() if conv is None else conv
         decimal = c.get("decimal_point") or "."
         group = c.get("thousands_sep") or ("\xa0" if decimal != "." else ",")
         sizes = list(c.get("grouping") or ())
         indian = len(sizes) > 1 and sizes[:2] == [3, 2]
-        return NumFormat(flags, decimal, group, (c.get("currency_symbol") or "").strip(), grouping=Grouping.INDIAN if indian else Grouping.WESTERN)
+        symbol = (c.get("currency_symbol") or "").strip()
+        money = [c.get("mon_decimal_point") or decimal, c.get("mon_thousands_sep") or group] if symbol else [decimal, group]
+        if _same(*money):  # a locale that only names one of them
+            money = [decimal, group]
+        point, apart = (m if m != n else "" for m, n in zip(money, (decimal, group)))
+        return NumFormat(flags, decimal, group, symbol, point, apart, grouping=Grouping.INDIAN if indian else Grouping.WESTERN)
 
 
 def _same(a: str, b: str) -> bool:

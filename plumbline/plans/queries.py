@@ -207,7 +207,28 @@ def checked_from_f64(spark, sf_dir):
 def checked_text_enum(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "'  ' || lower(c_mktsegment) || ' ' AS t")
     c = d.cast_text_checked("t", Constraints(trim=True, max_length=9, enum=("BUILDING", "MACHINERY", "FURNITURE")))
-    return rows.withColumn("v", c).select("c_custkey", F.when(F.col("v.ok"), F.col("v.value")).alias("value"), F.col("v.keyword").alias("keyword"), F.col("v.enum_index").alias("enum_index"))
+    return rows.withColumn("v", c).select("c_custkey", F.col("v.value").alias("value"), F.col("v.keyword").alias("keyword"), F.col("v.enum_index").alias("enum_index"))
+
+
+def checked_enum(spark, sf_dir):
+    """Numbers of an enum have no index; a value outside it comes along."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "' ' || CAST(l_linenumber AS STRING) AS t")
+    c = d.cast_checked("t", Door.U8, Constraints(enum=(1, "2.0", 7)))
+    return rows.withColumn("v", c).select("l_orderkey", "l_linenumber", F.col("v.value").alias("value"), F.col("v.keyword").alias("keyword"), F.col("v.offset").alias("offset"), F.col("v.enum_index").alias("enum_index"))
+
+
+def checked_wide_bound(spark, sf_dir):
+    """A bound of 29 digits, the most that a declared number has."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "'7922816251426433759354395033' || CAST(l_linenumber + 2 AS STRING) AS t")
+    c = d.cast_checked("t", Door.DECIMAL, Constraints(maximum="79228162514264337593543950334"))
+    return rows.withColumn("v", c).select("l_orderkey", "l_linenumber", F.col("v.value.text").alias("value"), F.col("v.keyword").alias("keyword"), F.col("v.reason").alias("reason"), F.col("v.detail").alias("detail"))
+
+
+def as_spark_types(spark, sf_dir):
+    """Instants and durations as Spark's own types, rendered by their fields."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", f"{_ISO} || 'T' || {_HMS} || '.5Z' AS t", f"{_HMS} AS s")
+    got = rows.select("l_orderkey", "l_linenumber", d.as_timestamp(d.cast_timestamp("t")["value"]).alias("ts"), d.as_interval(d.cast_duration("s")["value"]).alias("span"))
+    return got.select("l_orderkey", "l_linenumber", F.unix_micros("ts").alias("micros"), F.expr("CAST(extract(HOUR FROM span) * 3600 + extract(MINUTE FROM span) * 60 + extract(SECOND FROM span) AS BIGINT)").alias("seconds"))
 
 
 _LINES = "SELECT l_orderkey, l_linenumber, {} FROM lineitem"
@@ -230,7 +251,10 @@ OTHERS = {
     "checked_multiple_of": (checked_multiple_of, _LINES.format("CAST(l_partkey - l_partkey % 5 AS BIGINT) AS value, l_partkey % 5 > 0 AS adjusted")),
     "checked_bounds": (checked_bounds, _LINES.format("CAST(l_linenumber AS STRING) || '.5' AS value, CASE WHEN l_linenumber < 2 THEN 'minimum' WHEN l_linenumber >= 5 THEN 'exclusiveMaximum' END AS keyword")),
     "checked_from_f64": (checked_from_f64, _LINES.format("CASE WHEN l_linenumber > 6 THEN CAST(l_linenumber AS DOUBLE) / 2 ELSE ceil(CAST(l_linenumber AS DOUBLE) / 2) END AS value, CASE WHEN l_linenumber > 6 THEN 'maximum' END AS keyword")),
-    "checked_text_enum": (checked_text_enum, f"SELECT c_custkey, CASE WHEN {_MK} IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN {_MK} END AS value, CASE WHEN length({_MK}) > 9 THEN 'maxLength' WHEN {_MK} NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN 'enum' END AS keyword, CASE {_MK} WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2 END AS enum_index FROM customer"),
+    "checked_enum": (checked_enum, _LINES.format("CAST(l_linenumber AS SMALLINT) AS value, CASE WHEN l_linenumber NOT IN (1, 2, 7) THEN 'enum' END AS keyword, CASE WHEN l_linenumber NOT IN (1, 2, 7) THEN 1 END AS \"offset\", CAST(NULL AS INTEGER) AS enum_index")),
+    "checked_wide_bound": (checked_wide_bound, _LINES.format("CASE WHEN l_linenumber <= 3 THEN '7922816251426433759354395033' || CAST(l_linenumber + 2 AS STRING) END AS value, CASE l_linenumber WHEN 3 THEN 'maximum' END AS keyword, CASE WHEN l_linenumber > 3 THEN 'out_of_range' END AS reason, CASE WHEN l_linenumber > 3 THEN 'too_large' END AS detail")),
+    "as_spark_types": (as_spark_types, _LINES.format(f"CAST({_EPOCH_DAYS} * 86400000000 + {_HMS_SECONDS} * 1000000 + 500000 AS BIGINT) AS micros, CAST({_HMS_SECONDS} AS BIGINT) AS seconds")),
+    "checked_text_enum": (checked_text_enum, f"SELECT c_custkey, CASE WHEN {_MK} IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN {_MK} ELSE lower({_MK}) END AS value, CASE WHEN length({_MK}) > 9 THEN 'maxLength' WHEN {_MK} NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN 'enum' END AS keyword, CASE {_MK} WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2 END AS enum_index FROM customer"),
 }
 
 

@@ -1,11 +1,13 @@
 """Values, reasons, details and spans of each door, and lane N against lane K."""
 
+from decimal import Decimal
+
 import pytest
 
 from plumbline import kernel as k
 from plumbline.checked import Violation, cast_checked, checked_from_f64
 from plumbline.codes import WHITE_SPACE, DateFlags, DateOrder, Door, ExcelEpoch, Flags, Grouping, Rounding, UnixPrecision
-from plumbline.declarations import DETECT, INVARIANT, Constraints, DateOptions, DayPeriods, MonthNames, NumFormat, fold
+from plumbline.declarations import DETECT, INVARIANT, Constraints, DateOptions, DayPeriods, MonthNames, NumFormat, declared_decimal, fold
 
 DOLLAR = INVARIANT.with_currency("$")
 
@@ -130,6 +132,70 @@ def test_lanes_agree(spark):
             assert r[f"{name}_True"] == r[f"{name}_False"], (name, r.t)
 
 
+def test_checked_lanes_agree_and_refuse_on_the_driver(spark):
+    from plumbline.functions import doors as d
+
+    df = spark.createDataFrame([(t,) for t in [*TEXTS, "7", "2.50", "-3.75", "1000001", "9" * 40, None]], "t string")
+    cases = [(Door.I32, Constraints(minimum=-2, maximum=100, enum=(7, 1, "12"))), (Door.I64, Constraints(multiple_of=7)), (Door.DECIMAL, Constraints(exclusive_minimum="-3.75", maximum="12.5")), (Door.DECIMAL, Constraints(maximum="79228162514264337593543950335"))]
+    both = [d.cast_checked("t", door, c, native=n).alias(f"c{i}_{n}") for i, (door, c) in enumerate(cases) for n in (True, False)]
+    for r in df.select("t", *both).collect():
+        for i in range(len(cases)):
+            assert r[f"c{i}_True"] == r[f"c{i}_False"], (i, r.t)
+            assert r[f"c{i}_True"] is None or r[f"c{i}_True"].enum_index is None
+    seven = Constraints(enum=(7,))
+    assert seven.check(Door.I32).enum == (Decimal(7),) and seven.enum == (7,)  # as it was
+    for door, c in ((Door.UNIX, seven), (Door.DATETIME, Constraints(minimum=1))):
+        with pytest.raises(ValueError):
+            d.cast_checked("t", door, c)
+    got = df.select(d.cast_checked("t", Door.UNIX, Constraints(), precision=UnixPrecision.SECONDS).alias("v")).where("v.ok").count()
+    assert got > 0
+    with pytest.raises(ValueError):
+        d.checked_from_f64("t", Door.BOOL, Constraints())
+
+
+def test_declared_numbers():
+    for text, want in (("79228162514264337593543950335", 79228162514264337593543950335), ("-1.50", Decimal("-1.5")), ("1e28", 10**28), ("100e-2", 1), (".5", Decimal("0.5")), ("0e99999999999", 0), (Decimal("1E+3"), 1000)):
+        assert declared_decimal(text) == want
+    for text in ("79228162514264337593543950336", "1e29", "1e-29", " 1", "1 ", "1_000", "١", "", ".", "+", "1e", "1,5", "0x10", "NaN", "1e99999999999", 1.5, True):
+        with pytest.raises(ValueError):
+            declared_decimal(text)
+    fmt = NumFormat.from_localeconv({"decimal_point": ",", "thousands_sep": ".", "mon_decimal_point": ".", "mon_thousands_sep": ",", "currency_symbol": "X "})
+    assert k.cast_decimal("X 1,234.5", fmt) == (12345, 1, False) and k.cast_decimal("1.234,5", fmt) == (12345, 1, False)
+
+
+def test_typed_lanes(spark):
+    from plumbline.functions import doors as d
+
+    xs = [0.0, -0.0, 1.0, -1.0, 0.5, 1.5, 60.0, 59.0, 0.1, 0.25, 1e-7, 123456.789, 2.0**53, 2.0**60, 1e23, -1e300, 3e38, 4e38, 45000 + 1 / 86400, 45000.123456789, 2958465.999, 2958466.0, 3000000.0, -0.25, float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    doors = [Door.I8, Door.I64, Door.U8, Door.U64, Door.F32, Door.BOOL, Door.DECIMAL, Door.UNIX, Door.EXCEL_SERIAL]
+    parse = {Door.F32: k.f32_from_f64, Door.BOOL: k.bool_from_f64, Door.DECIMAL: k.decimal_from_f64, Door.UNIX: lambda x: k.unix_from_f64(x, UnixPrecision.SECONDS), Door.EXCEL_SERIAL: lambda x: k.excel_serial_from_f64(x, ExcelEpoch.E1900)}
+    for door in doors:
+        f = parse.get(door, lambda x, door=door: k.int_from_f64(x, door))
+        for r in df.select("x", d.from_f64("x", door).alias("v")).collect():
+            want = got(f, r.x)
+            if isinstance(want, tuple) and len(want) == 4:
+                assert (r.v.ok, r.v.reason, r.v.detail) == (False, *want[:2]), (door, r.x, r.v)
+            else:
+                value = r.v["value"]
+                value = (int(value.magnitude), value.scale, value.negative) if door == Door.DECIMAL else tuple(value) if isinstance(value, tuple) else value
+                assert value == want, (door, r.x)
+    for f, exact in ((d.excel_time, k.excel_time), (d.excel_duration, k.excel_duration)):
+        for r in df.select("x", f("x").alias("v")).collect():
+            want = got(exact, r.x)
+            assert (r.v.detail == want[1]) if isinstance(want, tuple) and len(want) == 4 else (tuple(r.v["value"]) if isinstance(want, tuple) else r.v["value"]) == want, (r.x, r.v)
+
+
+def test_spark_types(spark):
+    from plumbline.functions import doors as d
+
+    df = spark.createDataFrame([("2026-01-07T03:04:05.1234567Z", "1/7/2026 3:04:05 PM", "-1.02:03:04.5")], "i string, c string, s string")
+    row = df.select(
+        d.as_timestamp(d.cast_timestamp("i")["value"]).cast("string").alias("i"), d.as_timestamp_ntz(d.cast_datetime("c", DateOrder.MDY)["value"]).cast("string").alias("c"), d.as_interval(d.cast_duration("s")["value"]).alias("s"),
+    ).first()
+    assert (row.i, row.c) == ("2026-01-07 03:04:05.123456", "2026-01-07 15:04:05") and row.s.total_seconds() == -93784.5
+
+
 def test_spans_stay_inside():
     for t in TEXTS:
         for n in range(len(t) + 1):
