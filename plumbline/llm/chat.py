@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import dropped, shuffle_partitions, written
 
 CHUNK = 64
 TURN = ("<|im_start|>", "\n", "<|im_end|>\n")
@@ -29,8 +29,8 @@ def _carried(parts: DataFrame, total, what: str) -> DataFrame:
     )
 
 
-def prefixes(conversations: DataFrame) -> DataFrame:
-    """Every turn with its place from 1 and a 128-bit hash of the turns up to it, as p1 and p2.
+def prefixes(conversations: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Every turn with its place from 1 and a 128-bit hash of the turns up to it, as p1 and p2; and the tables made for it.
 
     The hash of a prefix is the XOR of hashes of (place, role, text), so it rolls on over tasks: each has a range of
     (conversation, turn) and adds what the tasks before it carried. A long conversation is spread over many tasks.
@@ -49,7 +49,8 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     upto = Window.partitionBy("conv_id", "task").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     rolled = hashed.withColumn("_r1", F.bit_xor("e1").over(upto)).withColumn("_r2", F.bit_xor("e2").over(upto))
     rolled = joined(rolled, _carried(hashed, [F.bit_xor("e1"), F.bit_xor("e2")], "xor"))
-    return rolled.select("conv_id", "place", "role", "text", F.col("_r1").bitwiseXOR(F.col("_c0")).alias("p1"), F.col("_r2").bitwiseXOR(F.col("_c1")).alias("p2"), "e1", "e2")
+    out = rolled.select("conv_id", "place", "role", "text", F.col("_r1").bitwiseXOR(F.col("_c0")).alias("p1"), F.col("_r2").bitwiseXOR(F.col("_c1")).alias("p2"), "e1", "e2")
+    return out, (dealt, hashed)
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -66,7 +67,9 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Rendered maximal conversations: conv_id, chunk (from 0), n_turns, n_equal, text."""
-    turns = written(prefixes(conversations), "prefixes")
+    turns, over = prefixes(conversations)
+    turns = written(turns, "prefixes")
+    dropped(*over)
     keep = maximal(turns).select(F.col("conv_id").alias("_keep"), "n_equal")
     body = F.concat(F.lit(TURN[0]), F.coalesce("role", F.lit("none")), F.lit(TURN[1]), F.coalesce("text", F.lit("")), F.lit(TURN[2]))
     kept = turns.join(keep, turns.conv_id.eqNullSafe(keep._keep)).select("conv_id", "n_equal", "place", F.floor((F.col("place") - 1) / chunk).cast("long").alias("chunk"), body.alias("body"))

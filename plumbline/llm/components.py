@@ -20,12 +20,14 @@ def connected(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # tables of their own, so that the joins may split a hub
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u > v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        dropped(least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = written(small.where("u > v").distinct(), "small-star")
-        dropped(edges, large)
+        dropped(edges, large, least)
         edges = after
     return edges.select(F.col("u").alias("k"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

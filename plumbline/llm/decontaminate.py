@@ -156,7 +156,7 @@ def leak_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     got = F.aggregate("ws", F.lit(0).cast("long"), lambda a, x: a + F.when(F.array_contains("win", x["h"]), x["w"]).otherwise(F.lit(0).cast("long")))
     sure = pairs.select("doc_id", "text_hash", "item_id", F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), "hamming", (got / F.col("total")).alias("similarity")).where(F.col("similarity") >= threshold)
     out = written(_best(sure, "doc_id", "text_hash"), "leaks")
-    dropped(near, windows, met)
+    dropped(near, windows, met, some)
     return out.unionByName(tiny) if short else out
 
 

@@ -49,7 +49,8 @@ CELLS, CELL_ROWS = 1 << 22, 64
 GROUP = 512
 #: Shingles of a group, about, where its entries are long.
 HEAVY = 1 << 20
-QUERIES = 4096
+#: Queries of a shingle's most central entry that are checked together.
+QUERIES = 512
 
 
 def named(words: bytes, salt: int) -> bytes:
@@ -282,7 +283,8 @@ def _opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: in
     return written(full.repartition("g").sortWithinPartitions("g", "asks").mapInArrow(run, "a long, b long"), name)
 
 
-def _links(entries: DataFrame, how: Reading, percent: int) -> DataFrame:
+def _roots(entries: DataFrame, how: Reading, percent: int) -> DataFrame:
+    """(k, root) of the entries that link with another."""
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     sets = written(entries.where("words is not null").groupBy("k").agg(F.first("words").alias("words")), "entry-sets")
     tokens = entries.where("words is null").select("token", "k", "n", "score").distinct()
@@ -299,6 +301,7 @@ def _links(entries: DataFrame, how: Reading, percent: int) -> DataFrame:
     named = lambda d: d.select(F.xxhash64("p", "share").alias("g"), "k", F.col("k").alias("root"))
     first = _opened(named(members), named(queries), sets, percent, how, "first-links")
     roots = written(connected(first), "first-roots")
+    dropped(ask, shares)
     # groups of many: chunks of components
     rooted = written(tokens.hint("merge").join(roots, "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("root")), "rooted")
     per = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("often")).where("lo <> hi").select("token", "often")
@@ -307,11 +310,11 @@ def _links(entries: DataFrame, how: Reading, percent: int) -> DataFrame:
     alike = written(mixed.groupBy("k").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.max(F.struct("often", "token")).alias("lead")), "alike")
     sizes = alike.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     large = F.col("c") >= GROUP
-    alike = alike.join(sizes, "root").select("k", "n", "c", F.struct(large.alias("large"), F.when(large, F.col("root")).otherwise(F.col("lead.token")).alias("x")).alias("by"))
+    parted = alike.join(sizes, "root").select("k", "n", "c", F.struct(large.alias("large"), F.when(large, F.col("root")).otherwise(F.col("lead.token")).alias("x")).alias("by"))
     # by entries and, where these are long, by shingles
-    slots = alike.groupBy("by").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / HEAVY)).alias("slots"))
+    slots = parted.groupBy("by").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / HEAVY)).alias("slots"))
     band = F.floor(F.log(1.25, F.col("n")))
-    held = written(alike.join(slots, "by").select("k", "c", F.xxhash64("by", band, F.pmod(F.xxhash64("k"), F.col("slots"))).alias("g")), "groups")
+    held = written(parted.join(slots, "by").select("k", "c", F.xxhash64("by", band, F.pmod(F.xxhash64("k"), F.col("slots"))).alias("g")), "groups")
     grouped = written(mixed.hint("merge").join(held, "k").select("token", "k", "n", "root", "c", "g"), "grouped")
     dropped(mixed)
     unions = grouped.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.struct("c", "root")).alias("top"))
@@ -320,7 +323,10 @@ def _links(entries: DataFrame, how: Reading, percent: int) -> DataFrame:
     open_ = asking.hint("merge").join(unions, "token").where(later & (100 * F.col("most") >= percent * F.col("qn")) & (100 * F.col("qn") >= percent * F.col("least")))
     queries = written(open_.groupBy("g", "k", "root").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= SHARE).select("g", "k", "root"), "queries")
     members = grouped.select("g", "k", "root").distinct().join(queries.select("g").distinct(), "g", "left_semi")
-    return first.union(_opened(members, queries, sets, percent, how, "links"))
+    rest = _opened(members, queries, sets, percent, how, "links")
+    out = connected(first.union(rest))
+    dropped(sets, tokens, roots, alike, held, grouped, queries, first, rest)
+    return out
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, batch_bytes: int = 1 << 20, name: Callable = named, words: Callable = word_names) -> DataFrame:
@@ -336,7 +342,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         dropped(rows)
     entries = _entries(texts, log, how, percent)
     dropped(texts)
-    roots = connected(_links(entries, how, percent))
+    roots = _roots(entries, how, percent)
     each_set = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"))
     each_set = each_set.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     ids = each_set.groupBy("root").agg(F.min("least").alias("component_id"))
