@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, rolling, shuffle_partitions, words_of
-from .window_dedup import RUN, Records, _alike, _bucketed, _packed, _received, covered, out_ids, search
+from .window_dedup import RUN, Anchors, Records, _alike, _bucketed, _packed, _received, covered, out_ids, search
 
 WIDTH, STRETCH = 20, 8
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -56,6 +56,9 @@ class WordWindows:
     def prepare(self, batch):
         return _Words(batch, self.q)
 
+    def anchors(self, batch, state) -> Anchors:
+        return Anchors(state.hashes, state.ends, self.width, self.q)
+
     @staticmethod
     def units(texts) -> np.ndarray:
         """Words as numbers of a dictionary of these texts."""

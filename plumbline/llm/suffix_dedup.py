@@ -1,10 +1,11 @@
 """Suffix deduplication: bytes covered by a WIDTH-byte string that also starts in a smaller doc_id.
 
-Suffixes are sorted one bucket at a time by their first WIDTH bytes, and equal ones compared byte by byte. A sample of
-the suffixes decides which are sent and to which bucket: of every WIDTH bytes, the STRETCH bytes with the least hash
-(see window_dedup). The sample of a difference cover, whose members' ranks would resolve ties, is not used: two equal
-strings share a member of the cover, but which one depends on where both start, so that each string would have to go
-to the buckets of all its members, six for one here.
+Difference-cover blockwise construction. The sample is a difference cover of period 31, counted from a text's start:
+six of 31 suffixes, by the residues of which any two equal strings, wherever they start, have a member at one same place
+within them. Members are first ranked by STRETCH bytes, one bucket of their hashes at a time; one whose rank is its own
+is tied with nothing. Of a tied one the bytes around go to the bucket of its rank, and of one bucket at a time the
+suffixes are sorted: two strings are compared by the bytes ahead of their common member and then by its suffix's rank.
+Only strings of WIDTH bytes matter, so no suffix is sorted any deeper.
 
 Null texts are empty; texts under WIDTH bytes lose nothing. Every row gives one row, repeated ones too; an empty table
 gives none. Only id and text are read, whatever other columns there are.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import rolling
-from .window_dedup import covered, out_ids, search
+from .window_dedup import Cover, cover_of, covered, out_ids, search
 
 WIDTH, STRETCH = 50, 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -31,23 +32,27 @@ class _Bytes:
     def __init__(self, batch, q: int):
         lens = np.diff(batch.bounds)
         self.hashes = rolling(batch.buf, q)
-        self.rows, self.ends = np.repeat(np.arange(len(lens)), lens), np.repeat(batch.bounds[1:], lens)
+        self.rows = np.repeat(np.arange(len(lens)), lens)
         self.slice = lambda a, b: batch.data[a:b]
 
 
 class Suffixes:
     own = False
-    #: Anchors a byte, about.
-    density = 2 / (WIDTH - STRETCH + 2)
 
     def __init__(self, width: int = WIDTH, q: int = STRETCH):
         if not 0 < q <= width <= q + 63:
             raise ValueError("a stretch of a window is at most 63 bytes shorter")
         self.width, self.q = width, q
+        period, members = cover_of(width, q)
+        #: Anchors a byte.
+        self.density = len(members) / period
 
     def prepare(self, batch):
         return _Bytes(batch, self.q)
 
+    def anchors(self, batch, state) -> Cover:
+        return Cover(state.hashes, batch.bounds, self.width, self.q)
+
     @staticmethod
     def units(texts) -> np.ndarray:
         return np.frombuffer(b"".join(data for _, data in texts), np.uint8)
@@ -77,6 +82,7 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, with_text: bool = False, **
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         return pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * with_text, names=names + ["kept"] * with_text)
 
+    sizes = {"bucket_records": 1 << 19} | sizes  # about a third of them are tied, of 80 bytes each
     return search(docs, Suffixes(width), finish, OUT + ", kept binary" * with_text, **sizes)
 
 

@@ -1,14 +1,16 @@
 """Distributed search for repeated windows of a corpus: named by hashes, decided on their bytes or words.
 
-Texts are kept as compressed batches. Of every window one stretch of units is its anchor: the one with the least hash,
-which depends on the window alone, so equal windows have equal anchors at the same place. An anchor's record is the
-text of all windows that it anchors. Within a batch equal records are one, and windows are resolved there first.
+Texts are kept as compressed batches. Every window has anchors, stretches of q of its units, such that two equal windows
+share one at the same place: the members of a difference cover (Cover), or the stretch with the least hash, which
+depends on the window alone (Anchors). An anchor's record is the text of all windows that it anchors. Within a batch
+equal records are one, and windows are resolved there first.
 
 Round 1 finds anchors that occur more than once, by sorted runs of their hashes. Round 2 sends the records of such
 anchors to the bucket of their hash. A task takes one bucket at a time, lays its records side by side along their
-anchors, sorts the windows of each place and compares what the sort brings together unit by unit: a window is repeated
-if the very same one has a smaller id. Memory is bounded by a batch on one side and a bucket on the other; a record
-that is in a third of all texts is one record a batch.
+anchors, and sorts the suffixes that start at anchors and, backwards, what is ahead of them. These ranks then decide
+which windows are equal, without another look at their units: a window is repeated if the very same one has a smaller
+id. Memory is bounded by a batch on one side and a bucket on the other; a record that is in a third of all texts is one
+record a batch.
 
 Rows that repeat a doc_id are judged each on its own against smaller ids, a null doc_id being the smallest; null and
 empty texts have no windows.
@@ -222,6 +224,37 @@ class Anchors:
         self.at, self.first, self.count, self.keys = self.at[m], self.first[m], self.count[m], self.keys[m]
 
 
+#: Difference covers by their period: of any two residues, a pair of members has the same difference (fixed values).
+COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
+
+
+def cover_of(width: int, q: int) -> tuple[int, tuple[int, ...]]:
+    """The widest period of which every window has a whole turn of stretches, and its members."""
+    period = max(v for v in COVERS if v <= width - q + 1)
+    return period, COVERS[period]
+
+
+class Cover(Anchors):
+    """The members of a difference cover, each with all the windows in which it has a place less than the period.
+
+    Two equal windows, wherever they start, have members at one same place, so one pair of their records meets.
+    """
+
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, width: int, q: int):
+        """bounds: of the texts; their members are counted from their own starts."""
+        period, members = cover_of(width, q)
+        lens = np.diff(bounds)
+        row = np.flatnonzero(lens >= width)
+        turns = -(-(lens[row] - q + 1) // period)
+        row, turn = np.repeat(row, turns), np.arange(turns.sum()) - np.repeat(np.cumsum(turns) - turns, turns)
+        at = (turn[:, None] * period + np.array(members)).ravel()
+        begin, last = np.repeat(bounds[row], len(members)), np.repeat(lens[row] - width, len(members))
+        first, stop = np.maximum(at - (period - 1), 0), np.minimum(at, last) + 1
+        m = (stop > first) & (at <= last + (width - q))
+        self.at, self.first, self.count = (at + begin)[m], (first + begin)[m], (stop - first)[m]
+        self.keys = mix(hashes[self.at])
+
+
 #: Positions whose least hashes are looked for at a time; they fit into the low 16 bits.
 PIECE = 1 << 15
 
@@ -265,25 +298,80 @@ class Records:
         at = np.arange(len(lens)) * across + self.left - before - begin
         self.table.ravel()[np.arange(len(units)) + np.repeat(at, lens)] = units
 
+    def some(self, rows: np.ndarray) -> Records:
+        out = object.__new__(Records)
+        out.ids, out.before, out.count, out.table = self.ids[rows], self.before[rows], self.count[rows], self.table[rows]
+        out.width, out.left = self.width, self.left
+        return out
+
     def repeated(self, own: tuple[np.ndarray, np.ndarray] | None = None, old: np.ndarray | None = None) -> np.ndarray:
-        """Per record the windows that a smaller id has, as bits by their place ahead of the anchor.
+        """Per record the windows that come after an equal one, with a smaller id, as bits by their place ahead of the anchor.
 
         own: (text, start of the first window) of each record; an earlier window of the same text counts too.
         old: records that come before all others.
+
+        Anchors' suffixes are sorted once, and what is ahead of them too; a window is then its rank on either side.
         """
-        ids, out = self.ids, np.zeros(len(self.ids), np.uint64)
+        n = len(self.ids)
+        out = np.zeros(n, np.uint64)
+        if n < 2:
+            return out
+        order = (self.ids,) if own is None else (own[1] + self.before, own[0], self.ids)
+        by = np.lexsort(order if old is None else (*order, ~old))  # the first of equal windows is the one that stays
+        ids, before, after = self.ids[by], self.before[by], (self.before - self.count)[by]
+        text = None if own is None else own[0][by]
+        old = None if old is None else old[by]
+        behind, ahead = Ranks(self.table[by, self.left :]), Ranks(self.table[by, : self.left][:, ::-1])
         for place in range(self.left + 1):
             # windows that have the anchor at this place
-            rows = np.flatnonzero((place <= self.before) & (place > self.before - self.count))
+            rows = np.flatnonzero((place <= before) & (place > after))
             if len(rows) < 2:
                 continue
-            cells = _cells(self.table[rows, self.left - place : self.left - place + self.width])
-            rest = (ids[rows],) if own is None else (own[1][rows] + self.before[rows] - place, own[0][rows], ids[rows])
-            hit = _later(cells, rest, None if old is None else old[rows])
-            out[rows[hit]] |= np.uint64(1 << place)
+            rows, same = _sorted(behind.first(self.width - place)[rows], ahead.first(place)[rows], rows)
+            start = np.flatnonzero(np.concatenate([[True], ~same]))
+            lead = np.repeat(rows[start], np.diff(np.append(start, len(rows))))
+            hit = ids[rows] > ids[lead]
+            if text is not None:
+                hit[1:] |= same & (text[rows[1:]] == text[rows[:-1]])
+            if old is not None:
+                hit = (hit | old[lead]) & ~old[rows]
+            out[by[rows[hit]]] |= np.uint64(1 << place)
         return out
 
 
+class Ranks:
+    """Rows of units sorted once, to tell for any length which rows begin alike."""
+
+    def __init__(self, rows: np.ndarray):
+        rows = np.ascontiguousarray(rows)
+        n, across = rows.shape
+        self.by, self.lcp = np.arange(n), np.zeros(n, np.int64)
+        if n and across:
+            # as byte strings of one length; only the grouping by beginnings matters, not the order of units
+            self.by = np.argsort(rows.view(f"S{across * rows.itemsize}").ravel(), kind="stable")
+            s = rows[self.by]
+            differ = s[1:] != s[:-1]
+            self.lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), across)
+        self.lcp[:1] = -1
+
+    def first(self, k: int) -> np.ndarray:
+        """Per row the number of its first k units among all rows'."""
+        out = np.empty(len(self.by), np.int64)
+        out[self.by] = np.cumsum(self.lcp < k)
+        return out
+
+
+def _sorted(a: np.ndarray, b: np.ndarray, rows: np.ndarray, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending rows by (a, b, row), and whether each but the first has the a and b of the one before."""
+    if max(a.max(), b.max(), rows[-1]) >> bits == 0:  # all in one number
+        key = (a << 2 * bits | b << bits | rows)
+        key.sort()
+        return key & (1 << bits) - 1, key[1:] >> bits == key[:-1] >> bits
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    return rows[by], (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+
+
 def _cells(windows: np.ndarray) -> np.ndarray:
     """The windows' bytes as rows of 64-bit cells."""
     data = np.ascontiguousarray(windows).view(np.uint8).reshape(len(windows), -1)
@@ -299,42 +387,6 @@ def hashed(cells: np.ndarray) -> np.ndarray:
     return mix((cells * _FACTORS[: cells.shape[1]]).sum(axis=1, dtype=np.uint64))
 
 
-def _later(cells: np.ndarray, order: tuple, old: np.ndarray | None, name=hashed) -> np.ndarray:
-    """Rows that come after an equal row: with a smaller id, the last of order, or the same text and a smaller start.
-
-    Rows are sorted by a hash of their cells; where neighbours of one hash differ, by the cells themselves.
-    """
-    out = np.zeros(len(cells), bool)
-    key = name(cells)
-    by = np.argsort(key)
-    twice = key[by[1:]] == key[by[:-1]]
-    if not twice.any():
-        return out
-    some = np.zeros(len(by), bool)  # rows whose hash another has
-    some[1:] |= twice
-    some[:-1] |= twice
-    rows = by[some]
-    cells, key, order = cells[rows], key[rows], tuple(x[rows] for x in order)
-    if len(order) > 1:
-        by = np.lexsort((*order[:-1], key))  # by text and start
-        rows, cells, key, order = rows[by], cells[by], key[by], tuple(x[by] for x in order)
-    same = (cells[1:] == cells[:-1]).all(axis=1)
-    if (~same & (key[1:] == key[:-1])).any():
-        by = np.lexsort((*order[:-1], *cells.T))
-        rows, cells, order = rows[by], cells[by], tuple(x[by] for x in order)
-        same = (cells[1:] == cells[:-1]).all(axis=1)
-    start = np.flatnonzero(np.concatenate([[True], ~same]))
-    sizes, ids = np.diff(np.append(start, len(rows))), order[-1]
-    hit = ids > np.repeat(np.minimum.reduceat(ids, start), sizes)
-    if len(order) > 1:
-        hit[1:] |= same & (order[1][1:] == order[1][:-1])
-    if old is not None:
-        old = old[rows]
-        hit = (hit | np.repeat(np.maximum.reduceat(old, start), sizes)) & ~old
-    out[rows] = hit
-    return out
-
-
 def _neighbours(cells: np.ndarray, key: np.ndarray, by: np.ndarray) -> np.ndarray | None:
     """Whether sorted neighbours are equal; None if some have the same hash and are not."""
     alike = np.flatnonzero(key[by[1:]] == key[by[:-1]])
@@ -421,8 +473,8 @@ def _bucketed(runs: DataFrame, parts: int, judge, schema: str, name: str) -> Dat
 def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 20, bucket_keys: int = 1 << 21, bucket_records: int = 1 << 17, history: DataFrame | None = None, buckets: int | None = None, keep=None) -> DataFrame:
     """finish(batch, state, unit starts of windows repeated from a smaller id or, of kind.own, from before).
 
-    kind.prepare(batch) -> state with .hashes (of stretches of kind.q units), .ends (of the text around each unit) and
-    .slice(a, b) of a record's text; kind.units(texts) -> their units as numbers that are equal if they are.
+    kind.prepare(batch) -> state with .rows (the text of each unit) and .slice(a, b) of a record's text;
+    kind.anchors(batch, state) -> Anchors or Cover; kind.units(texts) -> their units as numbers that are equal if they are.
     history: runs (bucket, batch < 0, run) of records that come before all of docs, for so many buckets; records are
     then sent whether or not docs have them twice, and keep() gets the table of their runs.
     """
@@ -439,7 +491,7 @@ def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 2
     def local(n: int, batch, got):
         """The batch's state, anchors to be asked about, their windows resolved within the batch, and who stands for whom."""
         state = kind.prepare(batch)
-        anchors = Anchors(state.hashes, state.ends, kind.width, kind.q)
+        anchors = kind.anchors(batch, state)
         if not every and len(anchors.keys):
             g = Grouped(anchors.keys)
             anchors.take(g.spread(_bits(got, g.keys, first_buckets) | (g.sizes > 1)))
@@ -449,7 +501,14 @@ def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 2
         pieces = [state.slice(a, b) for a, b in zip(anchors.first.tolist(), (anchors.first + anchors.count + (kind.width - 1)).tolist())]
         lens = np.array([len(x) for x in pieces], np.int64)
         records = Records(batch.ids[row], anchors.at - anchors.first, anchors.count, kind.units([(lens, b"".join(pieces))]), kind.width, kind.q)
-        return state, anchors, records, records.repeated((row, anchors.first) if kind.own else None), _alike(records, anchors.keys), pieces
+        bits, lead = np.zeros(len(row), np.uint64), np.arange(len(row))
+        g = Grouped(anchors.keys)
+        twice = np.flatnonzero(g.spread(g.sizes > 1))  # all others are alone in the batch
+        if len(twice):
+            mine = records.some(twice)
+            bits[twice] = mine.repeated((row[twice], anchors.first[twice]) if kind.own else None)
+            lead[twice] = twice[_alike(mine, anchors.keys[twice])]
+        return state, anchors, records, bits, lead, pieces
 
     def standing(anchors, lead):
         """The records that are sent, by key."""
@@ -460,8 +519,7 @@ def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 2
 
         def ask(it):
             for n, batch in each(it):
-                state = kind.prepare(batch)
-                yield _runs(n, Grouped(Anchors(state.hashes, state.ends, kind.width, kind.q).keys).keys, first_buckets)
+                yield _runs(n, Grouped(kind.anchors(batch, kind.prepare(batch)).keys).keys, first_buckets)
 
         answers = _answered(texts.mapInArrow(ask, RUN), parts, _shared, "shared-anchors")
         asked = _with_answers(texts, answers)

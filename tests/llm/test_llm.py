@@ -94,18 +94,43 @@ def test_fingerprint_index(spark, corpus, tmp_path):
     assert index.add(docs_of(spark, [])).collect() == []
 
 
-def test_windows_are_told_apart_by_their_units():
+def test_windows_are_told_apart_by_their_units(monkeypatch):
+    """Records of any anchors in one bucket, as if their hashes had met: only equal units are equal."""
     from plumbline.llm import window_dedup
 
     rng = np.random.default_rng(3)
-    cells = rng.integers(0, 2, (300, 3)).astype(np.uint64)
-    ids = rng.integers(0, 40, 300)
-    least = {}
-    for c, i in zip(map(tuple, cells.tolist()), ids.tolist()):
-        least[c] = min(least.get(c, 99), i)
-    want = [i > least[c] for c, i in zip(map(tuple, cells.tolist()), ids.tolist())]
-    for name in (window_dedup.hashed, lambda c: c[:, 0] & np.uint64(1), lambda c: np.zeros(len(c), np.uint64)):  # names that deceive
-        assert window_dedup._later(cells, (ids,), None, name).tolist() == want
+    n, width, q = 300, 6, 3
+    before, texts, at = rng.integers(0, 4, n), rng.integers(0, 25, n), 50 + rng.permutation(n)
+    count = rng.integers(1, before + 2)
+    pieces = [rng.integers(0, 2, c + width - 1).astype(np.uint8) for c in count]
+    old = rng.random(n) < 0.05
+    windows = [(tuple(pieces[k][j : j + width]), before[k] - j, k, at[k] - before[k] + j) for k in range(n) for j in range(count[k])]
+
+    def want(own, old):
+        out = np.zeros(n, np.uint64)
+        for w, place, k, start in windows:
+            others = [(i, t) for v, p, i, t in windows if v == w and p == place]
+            hit = any(ids[i] < ids[k] or (old is not None and old[i]) or (own and texts[i] == texts[k] and ids[i] == ids[k] and t < start) for i, t in others)
+            if hit and not (old is not None and old[k]):
+                out[k] |= np.uint64(1 << int(place))
+        return out.tolist()
+
+    ids = texts // 2  # a text has one id; two have the same
+    records = window_dedup.Records(ids, before, count, np.concatenate(pieces), width, q)
+    packed = window_dedup._sorted
+    for bits in (21, 2):
+        monkeypatch.setattr(window_dedup, "_sorted", lambda a, b, rows: packed(a, b, rows, bits))
+        assert records.repeated().tolist() == want(False, None)
+        assert records.repeated((texts, at - before)).tolist() == want(True, None)
+        assert records.repeated(old=old).tolist() == want(False, old)
+
+
+def test_difference_covers():
+    from plumbline.llm import window_dedup
+
+    for period, members in window_dedup.COVERS.items():
+        assert {(a - b) % period for a in members for b in members} == set(range(period))
+    assert window_dedup.cover_of(50, 20)[0] == 31
 
 
 def test_repeated_ids_and_empty_tables(spark):
