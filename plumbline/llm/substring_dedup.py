@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, rolling, shuffle_partitions, words_of
-from .window_dedup import RUN, Anchors, Records, _alike, _bucketed, _packed, _received, covered, out_ids, search
+from .window_dedup import RUN, Anchors, Records, _alike, _bucketed, _packed, _received, _shared, covered, out_ids, search
 
 WIDTH, STRETCH = 20, 8
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -44,7 +44,7 @@ class _Words:
 
 
 class WordWindows:
-    own = True
+    own, judge = True, staticmethod(_shared)
     #: Anchors a byte, about.
     density = 2 / (WIDTH - STRETCH + 2) / 6
 

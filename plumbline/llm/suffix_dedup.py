@@ -3,8 +3,8 @@
 Difference-cover blockwise construction. The sample is a difference cover of period 31, counted from a text's start:
 six of 31 suffixes, by the residues of which any two equal strings, wherever they start, have a member at one same place
 within them. Members are first ranked by STRETCH bytes, one bucket of their hashes at a time; one whose rank is its own
-is tied with nothing. Of a tied one the bytes around go to the bucket of its rank, and of one bucket at a time the
-suffixes are sorted: two strings are compared by the bytes ahead of their common member and then by its suffix's rank.
+is tied with nothing. Of tied ones, as far as they are needed (see Cover), the bytes around go to the bucket of their
+rank, and of one bucket at a time the suffixes are sorted: two strings are compared by the bytes ahead of their common member and then by its suffix's rank.
 Only strings of WIDTH bytes matter, so no suffix is sorted any deeper.
 
 Null texts are empty; texts under WIDTH bytes lose nothing. Every row gives one row, repeated ones too; an empty table
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import rolling
-from .window_dedup import Cover, cover_of, covered, out_ids, search
+from .window_dedup import Cover, _tied, cover_of, covered, out_ids, search
 
 WIDTH, STRETCH = 50, 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -37,7 +37,7 @@ class _Bytes:
 
 
 class Suffixes:
-    own = False
+    own, judge = False, staticmethod(_tied)
 
     def __init__(self, width: int = WIDTH, q: int = STRETCH):
         if not 0 < q <= width <= q + 63:

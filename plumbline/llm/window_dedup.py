@@ -109,9 +109,14 @@ def each(it, *more):
             yield cols[0][r].as_py(), Batch(*(c[r].as_py() for c in cols[1:4])), *(c[r].as_py() for c in cols[4:])
 
 
+#: Low bits of a key that may say more than its name.
+CODE = 4
+LOW = np.uint64((1 << CODE) - 1)
+
+
 def edges(buckets: int) -> np.ndarray:
-    """First key of each bucket."""
-    return np.array([-(-(k << 64) // buckets) for k in range(buckets)], np.uint64)
+    """First key of each bucket, a multiple of 1 << CODE."""
+    return np.array([-(-(k << 64) // buckets) for k in range(buckets)], np.uint64) & ~LOW
 
 
 class Grouped:
@@ -142,7 +147,7 @@ def _runs(batch: int, keys: np.ndarray, buckets: int, ids: np.ndarray | None = N
 
 
 def _answered(runs: DataFrame, parts: int, judge, name: str) -> DataFrame:
-    """judge(keys, ids, run number of each key) gives a bit per key; one bucket at a time. batch, answers."""
+    """judge(keys, ids) gives a row of bits per key, of one bucket at a time. batch, bucket, bits."""
 
     def run(it):
         now, held = None, []
@@ -176,10 +181,10 @@ def _with_answers(texts: DataFrame, answers: DataFrame) -> DataFrame:
     return texts.join(mine, "batch", "left")
 
 
-def _bits(answers, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The answers in the order of the sorted keys."""
+def _bits(answers, keys: np.ndarray, buckets: int, width: int = 1) -> np.ndarray:
+    """The answers, of width bits each, in the order of the sorted keys."""
     counts = np.diff(np.append(np.searchsorted(keys, edges(buckets)), len(keys)))
-    out = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=int(counts[a["bucket"]])) for a in answers or ()]
+    out = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=width * int(counts[a["bucket"]])) for a in answers or ()]
     return np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
 
 
@@ -194,6 +199,18 @@ def _shared(keys: np.ndarray, ids) -> np.ndarray:
     return out
 
 
+def _tied(keys: np.ndarray, ids) -> np.ndarray:
+    """Round 1 for coded keys: whether another run has the name too, and whether it has more than one code, or MIXED."""
+    order = np.argsort(keys)
+    s = keys[order]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] & ~LOW != s[:-1] & ~LOW]))
+    sizes = np.diff(np.append(start, len(s)))
+    most = s[start + sizes - 1]
+    out = np.empty((len(keys), 2), bool)
+    out[order] = np.repeat(np.stack([sizes > 1, (s[start] != most) | (most & LOW == MIXED)], axis=1), sizes, axis=0)
+    return out
+
+
 # --- records ---------------------------------------------------------------------
 
 
@@ -223,6 +240,15 @@ class Anchors:
     def take(self, m: np.ndarray) -> None:
         self.at, self.first, self.count, self.keys = self.at[m], self.first[m], self.count[m], self.keys[m]
 
+    def asked(self) -> np.ndarray:
+        """Keys for round 1, ascending."""
+        return Grouped(self.keys).keys
+
+    def answered(self, answers, buckets: int) -> None:
+        """Only those anchors stay that another text may have."""
+        g = Grouped(self.keys)
+        self.take(g.spread(_bits(answers, g.keys, buckets) | (g.sizes > 1)))
+
 
 #: Difference covers by their period: of any two residues, a pair of members has the same difference (fixed values).
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -234,10 +260,18 @@ def cover_of(width: int, q: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS[period]
 
 
+#: The code of an anchor that a batch has at more than one residue.
+MIXED = LOW
+
+
 class Cover(Anchors):
-    """The members of a difference cover, each with all the windows in which it has a place less than the period.
+    """The members of a difference cover, each with the windows in which it has a place less than the period.
 
-    Two equal windows, wherever they start, have members at one same place, so one pair of their records meets.
+    Two equal windows, wherever they start, have members at one same place, so one pair of their records meets; where
+    they start at the same residue, all their members meet. A member's key carries its residue, so that round 1 tells
+    which strings occur at more than one, and are mixed. A window is sent with its mixed members: an equal one has the
+    same string there. If it has none, whatever equals it starts at its residue, and it is sent with one member only,
+    that of residue 0, if all its members are tied.
     """
 
     def __init__(self, hashes: np.ndarray, bounds: np.ndarray, width: int, q: int):
@@ -252,7 +286,44 @@ class Cover(Anchors):
         first, stop = np.maximum(at - (period - 1), 0), np.minimum(at, last) + 1
         m = (stop > first) & (at <= last + (width - q))
         self.at, self.first, self.count = (at + begin)[m], (first + begin)[m], (stop - first)[m]
-        self.keys = mix(hashes[self.at])
+        self.codes = np.tile(np.arange(len(members), dtype=np.uint64), len(row))[m]
+        self.keys = mix(hashes[self.at]) & ~LOW
+        self.size, self.members = int(bounds[-1]), len(members)
+
+    def take(self, m: np.ndarray) -> None:
+        super().take(m)
+        self.codes = self.codes[m]
+
+    def _coded(self) -> tuple[Grouped, np.ndarray]:
+        g = Grouped(self.keys)
+        if not len(g.keys):
+            return g, g.keys
+        codes = self.codes[g.order]
+        least, most = np.minimum.reduceat(codes, g.at), np.maximum.reduceat(codes, g.at)
+        return g, np.where(least == most, least, MIXED)
+
+    def asked(self) -> np.ndarray:
+        g, codes = self._coded()
+        return g.keys | codes
+
+    def _windows(self, m: np.ndarray) -> np.ndarray:
+        """How many of the members m each window has."""
+        step = np.bincount(self.first[m], minlength=self.size + 1) - np.bincount(self.first[m] + self.count[m], minlength=self.size + 1)
+        return np.cumsum(step)
+
+    def answered(self, answers, buckets: int) -> None:
+        g, codes = self._coded()
+        if not len(g.keys):
+            return
+        bits = _bits(answers, g.keys, buckets, 2).reshape(-1, 2)
+        tied, mixed = g.spread(bits[:, 0] | (g.sizes > 1)), g.spread(bits[:, 1] | (codes == MIXED))
+        alone = np.flatnonzero((self._windows(tied) == self.members) & (self._windows(mixed) == 0))
+        one = np.flatnonzero(tied & ~mixed & (self.codes == 0))
+        low, high = np.searchsorted(alone, self.first[one]), np.searchsorted(alone, self.first[one] + self.count[one])
+        one, low, high = (x[high > low] for x in (one, low, high))
+        self.first[one], self.count[one] = alone[low], alone[high - 1] - alone[low] + 1
+        mixed[one] = True
+        self.take(mixed)
 
 
 #: Positions whose least hashes are looked for at a time; they fit into the low 16 bits.
@@ -474,7 +545,7 @@ def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 2
     """finish(batch, state, unit starts of windows repeated from a smaller id or, of kind.own, from before).
 
     kind.prepare(batch) -> state with .rows (the text of each unit) and .slice(a, b) of a record's text;
-    kind.anchors(batch, state) -> Anchors or Cover; kind.units(texts) -> their units as numbers that are equal if they are.
+    kind.anchors(batch, state) -> Anchors or Cover, and kind.judge, theirs; kind.units(texts) -> their units as numbers that are equal if they are.
     history: runs (bucket, batch < 0, run) of records that come before all of docs, for so many buckets; records are
     then sent whether or not docs have them twice, and keep() gets the table of their runs.
     """
@@ -493,8 +564,7 @@ def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 2
         state = kind.prepare(batch)
         anchors = kind.anchors(batch, state)
         if not every and len(anchors.keys):
-            g = Grouped(anchors.keys)
-            anchors.take(g.spread(_bits(got, g.keys, first_buckets) | (g.sizes > 1)))
+            anchors.answered(got, first_buckets)
         if not len(anchors.keys):
             return state, anchors, None, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         row = state.rows[anchors.at]
@@ -519,9 +589,9 @@ def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 2
 
         def ask(it):
             for n, batch in each(it):
-                yield _runs(n, Grouped(kind.anchors(batch, kind.prepare(batch)).keys).keys, first_buckets)
+                yield _runs(n, kind.anchors(batch, kind.prepare(batch)).asked(), first_buckets)
 
-        answers = _answered(texts.mapInArrow(ask, RUN), parts, _shared, "shared-anchors")
+        answers = _answered(texts.mapInArrow(ask, RUN), parts, kind.judge, "shared-anchors")
         asked = _with_answers(texts, answers)
     else:
         asked = texts.withColumn("answers", F.lit(None).cast("array<struct<bucket:int,bits:binary>>"))
