@@ -82,7 +82,7 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, with_text: bool = False, **
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         return pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * with_text, names=names + ["kept"] * with_text)
 
-    sizes = {"bucket_records": 1 << 19} | sizes  # about a third of them are tied, of 80 bytes each
+    sizes = {"bucket_records": 1 << 20} | sizes  # members, of which those that are tied are sent, with 80 bytes each
     return search(docs, Suffixes(width), finish, OUT + ", kept binary" * with_text, **sizes)
 
 

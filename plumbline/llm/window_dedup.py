@@ -303,8 +303,10 @@ class Cover(Anchors):
         return g, np.where(least == most, least, MIXED)
 
     def asked(self) -> np.ndarray:
-        g, codes = self._coded()
-        return g.keys | codes
+        s = np.sort(self.keys | self.codes)
+        start = np.flatnonzero(np.concatenate([[True], s[1:] & ~LOW != s[:-1] & ~LOW])[: len(s)])
+        most = s[np.append(start[1:], len(s))[: len(start)] - 1]
+        return np.where(s[start] == most, most, most | MIXED)
 
     def _windows(self, m: np.ndarray) -> np.ndarray:
         """How many of the members m each window has."""
@@ -625,11 +627,12 @@ def search(docs: DataFrame, kind, finish, schema: str, batch_bytes: int = 1 << 2
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Units that windows of that width at starts cover."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.subtract.at(step, starts + width, 1)
-    return np.cumsum(step[:-1]) > 0
+    """Units that windows of that width at starts, ascending, cover."""
+    apart = starts[1:] > starts[:-1] + width
+    step = np.zeros(n + 1, np.int8)
+    step[starts[np.append(len(starts) > 0, apart)[: len(starts)]]] = 1
+    step[starts[np.append(apart, len(starts) > 0)[: len(starts)]] + width] = -1
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
 
 
 def out_ids(batch: Batch) -> pa.Array:
