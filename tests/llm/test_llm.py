@@ -65,6 +65,27 @@ def test_suffix_dedup(spark, corpus):
     assert sum(v[1] for v in want.values()) > 5000
 
 
+def test_suffix_dedup_at_all_residues(spark):
+    """Pieces of one text at every shift, whole copies and copies with one byte more, in batches of a few texts."""
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    texts = [base[a : a + rng.randrange(45, 200)] for a in range(0, 400, 9)]
+    texts += [prose(rng, 3)[:k] + base[100:220] for k in range(12)]
+    texts += texts[:8] + ["x" + t for t in texts[8:14]] + [base[:90] + "#" + base[90:180]] * 3
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    for width in (50, 26):
+        first = {}
+        for d, t in rows:
+            for i in range(len(t) - width + 1):
+                first.setdefault(t[i : i + width], d)
+        want = {}
+        for d, t in rows:
+            gone = {j for i in range(len(t) - width + 1) if first[t[i : i + width]] < d for j in range(i, i + width)}
+            want[d] = "".join(c for j, c in enumerate(t) if j not in gone).encode()
+        got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup_bytes(docs_of(spark, rows), width, with_text=True, batch_bytes=700).collect()}
+        assert got == want
+
 
 def test_substring_dedup(spark, corpus):
     seen, want = set(), {}
