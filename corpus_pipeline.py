@@ -46,9 +46,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs)
 
 
+#: The workers of the last stage run beside a JVM that the stages before have filled, so they keep fewer chunks than op3's.
+CHUNKS = 100_000
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces and their places in sequences; a null text is an empty one, a null id stays null, a repeated one is packed again."""
-    return packing.pack(docs)
+    return packing.pack(docs, chunks=CHUNKS)
 
 
 STAGES = [

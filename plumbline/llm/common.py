@@ -28,6 +28,31 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
 
 
+def returned() -> None:
+    """Give back to the system what Arrow's pool and the C allocator of this Python worker keep but don't use."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(batches):
+    """The batches, for tasks that run beside a full JVM: a worker is used again by the next stage, and Arrow keeps the pages
+    of batches that are gone, so they are given back before the first batch, after each, and at the end."""
+    import pyarrow as pa
+
+    returned()
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+    returned()
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id as long and the text, whatever other columns there are. Their session's Arrow batches are bounded."""
     bounded(df.sparkSession)

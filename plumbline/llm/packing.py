@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, written
-from .tokens import default_path, encoder
+from .common import id_text, lean, written
+from .tokens import LIMIT, default_path, encoder
 
 
 class SumIndex:
@@ -146,13 +146,13 @@ class Places:
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, chunks: int = LIMIT) -> DataFrame:
     """Pieces of the encoded documents, with their task and their rank there among pieces of that length."""
 
     def run(batches):
-        encode, seen = encoder(path), np.zeros(capacity + 1, np.int64)
+        encode, seen = encoder(path, chunks), np.zeros(capacity + 1, np.int64)
         task, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in lean(batches):
             cols = [[] for _ in range(7)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + end
@@ -168,9 +168,12 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     return id_text(docs).mapInArrow(run, PIECE + ", task int, nth long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """PIECE with sequence_id and offset; sequences have at most capacity ids and no gaps."""
-    parts = written(pieces(docs, path or default_path(), capacity, end_id), "pieces")
+def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, chunks: int = LIMIT) -> DataFrame:
+    """PIECE with sequence_id and offset; sequences have at most capacity ids and no gaps.
+
+    chunks: how many chunks between white space a worker keeps the ids of; fewer take less memory and more time.
+    """
+    parts = written(pieces(docs, path or default_path(), capacity, end_id, chunks), "pieces")
     counts = parts.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     total = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .automaton import Automaton, compiled
-from .common import bounded, id_text
+from .common import bounded, id_text, lean
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,7 @@ def redact(docs: DataFrame, rules=RULES, text_col: str = "text", count_col: str
     chars = docs.columns.index(count_col) if count_col in whole else None
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             arrays = list(batch.columns)
             texts, changed = arrays[at].to_pylist(), {}
             for i, t in enumerate(texts):

@@ -32,6 +32,10 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
+#: Chunks of more characters are made anew each time: `limit` then bounds the bytes kept too.
+LONGEST = 64
+
+
 class _Chunks(dict):
     """Ids by chunk, looked up or made; of two generations of `limit` chunks the older goes, what is still in use moves up."""
 
@@ -43,6 +47,8 @@ class _Chunks(dict):
         out = self.older.get(key)
         if out is None:
             out = self.make(key)
+            if len(key) > LONGEST:
+                return out
         if len(self) >= self.limit:
             self.older = {}  # free before the copy
             self.older = self.copy()
@@ -51,10 +57,14 @@ class _Chunks(dict):
         return out
 
 
+#: Chunks that an encoder keeps of a generation where nothing else is said.
+LIMIT = 500_000
+
+
 class Encoder:
-    """Texts to little-endian uint32 ids. limit bounds the chunks kept."""
+    """Texts to little-endian uint32 ids. limit bounds the chunks kept: two times as many, of some 160 bytes each."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = LIMIT):
         import regex
         from tokenizers import Tokenizer
 
@@ -99,11 +109,12 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = LIMIT) -> Encoder:
     """One per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS.clear()  # chunks of two are not kept side by side
+        _ENCODERS[path, limit] = Encoder(path, limit)
+    return _ENCODERS[path, limit]

@@ -165,3 +165,33 @@ def test_licenses_against_all_shared_runs(spark):
             found += [(k, n, n / len(a), i, j) for n, i, j in licenses.places(a, words, shifts, licenses.COVERAGE)]
         want += Counter((d, index.names[k], n) for k, n, _, _, _ in licenses._foremost(found))
     assert want and not want - got, want - got
+
+
+def test_packing_stage_keeps_few_chunks(spark, monkeypatch):
+    """The pipeline's last stage, beside a full JVM: fewer chunks than op3's and no long ones are kept, with the same pieces."""
+    import corpus_pipeline
+    from plumbline.llm import packing, tokens
+
+    asked, real = [], packing.pieces
+    monkeypatch.setattr(packing, "pieces", lambda *a: asked.append(a[-1]) or real(*a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j}x{j}" for j in range(300)) + " " + "ab" * 500) for i in range(20)], "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.packing_stage(spark, docs, None).collect()))
+    assert asked == [corpus_pipeline.CHUNKS] and asked[0] <= tokens.LIMIT // 4
+    few = sorted(map(tuple, packing.pack(docs, chunks=40).select(*packing.PIECE.replace(" long", "").replace(" int", "").split(", ")).collect()))
+    assert [r[:5] for r in got] == few
+
+    enc = tokens.encoder(tokens.default_path(), 50)
+    for i in range(1000):
+        text = f"w{i}x " + "ab" * (100 + i)
+        assert enc(text) == enc._library(text)
+    kept = [*enc.chunks, *enc.chunks.older]
+    assert 0 < len(kept) <= 100 and max(map(len, kept)) <= 64
+
+
+def test_lean_batches_all_come():
+    import pyarrow as pa
+
+    from plumbline.llm.common import lean
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (3, 0, 5)]
+    assert list(lean(iter(batches))) == batches and list(lean(iter([]))) == []
